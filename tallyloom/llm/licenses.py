@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, without
+from .common import map_texts, materialize, without
 
 THRESHOLD = 0.6
 LICENSE_FILE = r"(?i)(^|/)(un)?licen[cs]e[^/]*$|(^|/)copying[^/]*$|(^|/)notice[^/]*$"
@@ -51,11 +52,14 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 
+#: Words of any English text, which have no weight.
+FUNCTION_WORDS = frozenset("a all an and any as at be by can either except for found free from has have in into is it its later may not of on one or possible subject that the this to under use v via was with without work you your".split())
+
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
 
 def tokens(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return [w for w in _WORD.findall(text.lower()) if w not in FUNCTION_WORDS]
 
 
 class Matcher:
@@ -72,16 +76,15 @@ class Matcher:
         for i, (_, counts) in enumerate(entries):
             vector = {w: c * self.idf[w] for w, c in counts.items()}
             norm = math.sqrt(sum(x * x for x in vector.values()))
-            rest = 1.0
-            for w, x in sorted(vector.items(), key=lambda e: (-e[1], e[0])):
+            for w, x in sorted(vector.items()):
                 self.index[w].append((i, x / norm))
-                # Without this and the heavier words, the cosine is at most the norm of what is left.
-                if math.sqrt(max(rest, 0)) >= threshold - 1e-9:
+            # Words are passed over, short and light ones first, while a line of passed words alone stays below the threshold.
+            passed = 0.0
+            for w, x in sorted(vector.items(), key=lambda e: (len(e[0]) > 3, e[1], e[0])):
+                passed += (x / norm) ** 2
+                if passed >= (threshold - 1e-9) ** 2:
                     triggers.add(w)
-                rest -= (x / norm) ** 2
         self.triggers = triggers
-        self.trigger = re.compile(r"(?<![a-z0-9])(?:" + "|".join(sorted(map(re.escape, triggers), key=len, reverse=True)) + r")(?![a-z0-9])")
-
     def best(self, statement: str) -> tuple[str | None, float]:
         """The closest template's name and cosine; no name below the threshold."""
         counts = Counter(tokens(statement))
@@ -104,15 +107,27 @@ class Matcher:
         best: tuple[str | None, float, int | None] = (None, 0.0, None)
         if not text:
             return best
-        lower, run, last = None, [], -2
-        for number, line in enumerate(text.split("\n")):
-            lower = line.lower()
-            if not self.trigger.search(lower):
+        lower = text.lower()
+        present = [t for t in self.triggers if t in lower]
+        if not present:
+            return best
+        starts = [0, *(m.end() for m in re.finditer("\n", lower))]
+        numbers = set()
+        for t in present:
+            at = lower.find(t)
+            while at >= 0:
+                k = bisect_right(starts, at)
+                numbers.add(k - 1)
+                at = lower.find(t, starts[k]) if k < len(starts) else -1  # from the next line on
+        ends = [*(a - 1 for a in starts[1:]), len(lower)]
+        run: list[tuple[int, str]] = []
+        for number in sorted(numbers):
+            line = lower[starts[number] : ends[number]]
+            if self.triggers.isdisjoint(tokens(line)):
                 continue
-            run = [*run, (number, lower)] if number == last + 1 else [(number, lower)]
-            last = number
+            run = [*run[-7:], (number, line)] if run and number == run[-1][0] + 1 else [(number, line)]
             for start in {0, len(run) - 1}:
-                name, cosine = self.best(" ".join(x for _, x in run[start:][:8]))
+                name, cosine = self.best(" ".join(x for _, x in run[start:]))
                 if name and cosine > best[1]:
                     best = (name, cosine, run[start][0])
         return best
@@ -128,7 +143,7 @@ def parent(path: Column) -> Column:
     return F.when(path != "", cut)
 
 
-def scan_licenses(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD, is_license_file: Column | None = None) -> DataFrame:
+def scan_licenses(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD, is_license_file: Column | None = None, keep_text: bool = True) -> DataFrame:
     """``files`` (path, text) with license, cosine, line, origin (own, inherited or none) and license_path, the file that states it."""
 
     def make():
@@ -140,8 +155,10 @@ def scan_licenses(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
 
         return run
 
-    columns = [c for c in files.columns if c.lower() not in _ADDED]
+    columns = [c for c in files.columns if c.lower() not in _ADDED and (keep_text or c != "text")]
     scanned = map_texts(without(files, _ADDED), "text", _OWN, make).withColumn("__dir", parent(F.col("path")))
+    # Written once, as three branches read it.
+    scanned = materialize(scanned if keep_text else scanned.drop("text"), "licenses")
     speaks = is_license_file if is_license_file is not None else F.col("path").rlike(LICENSE_FILE)
     stated = scanned.where(speaks & F.col("own_license").isNotNull() & F.col("path").isNotNull())
     order = F.struct((-F.col("cosine")).alias("c"), F.col("path").alias("p"), F.col("own_license").alias("l"))

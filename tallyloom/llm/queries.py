@@ -19,7 +19,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     path = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 100).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     files = docs.select("doc_id", "text", path.alias("path"), (F.size(F.split("text", r"\s+")) <= 60).alias("short"))
-    found = licenses.scan_licenses(files, is_license_file=F.col("short"))
+    found = licenses.scan_licenses(files, is_license_file=F.col("short"), keep_text=False)
     return found.select("doc_id", "path", "license", "cosine", "line", "origin", "license_path")
 
 

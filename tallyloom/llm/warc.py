@@ -214,6 +214,7 @@ def normalise(meta: DataFrame, root: str) -> DataFrame:
     """Every archive of ``meta`` with a member for each record and a sidecar index; a written table (archive, n_records)."""
     lists = revisits_of(meta).groupBy("archive").agg(F.collect_list(F.struct("n", "refers_to")).alias("revisits"))  # ROLL_RECORDS at most
     archives = meta.select("archive").distinct().join(lists, "archive", "left")
+    archives = archives.repartition(max(1, meta.agg(F.count_distinct("archive")).first()[0]), "archive")  # a row is a file's work
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,4 +261,5 @@ def archive_pages(spark: SparkSession, pages: DataFrame, root: str | None = None
     """Writes, normalises and reads back: a row for each page."""
     root = root or shared_path(spark, "warc")
     meta = write_archives(pages, root)
-    return read_archives(normalise(meta, root).repartition("archive"), root)
+    archives = normalise(meta, root)
+    return read_archives(archives.repartition(max(1, archives.count()), "archive"), root)

@@ -149,8 +149,11 @@ def shared_blocks(docs: DataFrame, least_words: int = BLOCK_WORDS) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     lines = materialize(texts.mapInArrow(_occurrences, "doc_id bigint, h bigint, places array<int>, words int"), "lines")
     first = lines.groupBy("h").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest")).where("latest > earliest").select(F.col("h").alias("g"), "earliest")
+    # Written, so that both sides of each join are plain shuffles and adaptive execution can split a hot line.
+    first = materialize(first, "first_lines")
     shared = materialize(lines.join(first, F.col("h") == F.col("g")).drop("g"), "shared_lines")
     there = shared.where("doc_id = earliest").groupBy("h").agg(F.flatten(F.collect_list("places")).alias("there")).withColumnRenamed("h", "g")
+    there = materialize(there, "earliest_lines")
     pairs = shared.where("doc_id > earliest").join(there, F.col("h") == F.col("g")).drop("g")
     dealt = pairs.repartition("doc_id").sortWithinPartitions("doc_id")
     return dealt.mapInArrow(_blocks(least_words), "doc bigint, removed array<struct<start:int,end:int>>")

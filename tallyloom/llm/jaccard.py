@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, binary_matrix, bounded_batches, map_texts, materialize, mix, raw, shingle_hashes, whole_groups, without
+from .common import Words, binary_matrix, bounded_batches, map_texts, materialize, mix, raw, shingle_hashes, whole_groups
 from .components import connected
 
 WIDTH = 5
@@ -239,5 +239,5 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each class: the one that the class is named after."""
-    kept = near_duplicates(docs).where("class_id = doc_id or doc_id is null").select(F.col("doc_id").alias("__kept")).distinct()
-    return without(docs, ["__kept"]).join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    kept = near_duplicates(docs).where("class_id = doc_id or doc_id is null").select("doc_id").distinct()
+    return docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, materialize, without
+from .common import map_texts, materialize
 
 THRESHOLD = 0.6
 LICENSE_FILE = r"(?i)(^|/)(un)?licen[cs]e[^/]*$|(^|/)copying[^/]*$|(^|/)notice[^/]*$"
@@ -134,7 +134,7 @@ class Matcher:
 
 
 _OWN = [T.StructField("own_license", T.StringType()), T.StructField("cosine", T.DoubleType()), T.StructField("line", T.IntegerType())]
-_ADDED = ("own_license", "cosine", "line", "license", "origin", "license_path", "__dir")
+_ADDED = ("own_license", "cosine", "line", "license", "origin", "license_path")
 
 
 def parent(path: Column) -> Column:
@@ -155,12 +155,14 @@ def scan_licenses(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
 
         return run
 
-    columns = [c for c in files.columns if c.lower() not in _ADDED and (keep_text or c != "text")]
-    scanned = map_texts(without(files, _ADDED), "text", _OWN, make).withColumn("__dir", parent(F.col("path")))
+    columns = [c for c in files.columns if c.lower() not in _ADDED]
+    others = [F.col(f"`{c}`") for c in columns if c != "text"]  # in a struct, where no name can clash
+    speaks = is_license_file if is_license_file is not None else F.col("path").rlike(LICENSE_FILE)
+    rows = files.select(F.struct(*others).alias("row"), "path", "text", speaks.alias("speaks"), parent(F.col("path")).alias("__dir"))
+    scanned = map_texts(rows, "text", _OWN, make)
     # Written once, as three branches read it.
     scanned = materialize(scanned if keep_text else scanned.drop("text"), "licenses")
-    speaks = is_license_file if is_license_file is not None else F.col("path").rlike(LICENSE_FILE)
-    stated = scanned.where(speaks & F.col("own_license").isNotNull() & F.col("path").isNotNull())
+    stated = scanned.where(F.col("speaks") & F.col("own_license").isNotNull() & F.col("path").isNotNull())
     order = F.struct((-F.col("cosine")).alias("c"), F.col("path").alias("p"), F.col("own_license").alias("l"))
     said = stated.groupBy("__dir").agg(F.min(order).alias("said")).select(F.col("__dir").alias("at"), F.col("said.p").alias("said_path"), F.col("said.l").alias("said_license"))
     # A directory and its ancestors: a/b/c gives a/b/c, a/b, a and the top.
@@ -172,7 +174,7 @@ def scan_licenses(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
     joined = scanned.join(near, F.col("__dir") == F.col("folder"), "left")
     own = F.col("own_license").isNotNull()
     return joined.select(
-        *(f"`{c}`" for c in columns),
+        *((F.col("text") if c == "text" else F.col(f"row.`{c}`")) for c in columns if keep_text or c != "text"),
         F.coalesce("own_license", "near.said_license").alias("license"), F.when(own, F.col("cosine")).alias("cosine"), F.when(own, F.col("line")).alias("line"),
         F.when(own, "own").when(F.col("near").isNotNull(), "inherited").otherwise("none").alias("origin"), F.when(own, F.col("path")).otherwise(F.col("near.said_path")).alias("license_path"),
     )

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, map_texts, materialize, slices, whole_groups, without
+from .common import bounded_batches, map_texts, materialize, slices, whole_groups
 
 BLOCK_WORDS = 25
 
@@ -161,7 +161,7 @@ def shared_blocks(docs: DataFrame, least_words: int = BLOCK_WORDS) -> DataFrame:
 
 def _cut(batch: pa.RecordBatch) -> dict:
     texts, counts = [], []
-    for text, removed in zip(batch.column("__text").to_pylist(), batch.column("__removed").to_pylist(), strict=True):
+    for text, removed in zip(batch.column("body").to_pylist(), batch.column("removed").to_pylist(), strict=True):
         if not removed:
             texts.append(text)
             counts.append(0)
@@ -182,12 +182,13 @@ def _cut(batch: pa.RecordBatch) -> dict:
 
 def dedup_lines(docs: DataFrame, least_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with text without the blocks that an earlier document has, and n_removed, the number of lines deleted."""
-    found = shared_blocks(docs, least_words).select(F.col("doc").alias("__doc"), F.col("removed").alias("__removed"))
+    found = shared_blocks(docs, least_words)
     columns = [c for c in docs.columns if c.lower() != "n_removed"]
-    source = without(docs, ["__doc", "__removed", "__text", "n_removed"]).withColumnRenamed("text", "__text")
-    joined = source.join(found, F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
-    out = map_texts(joined, "__text", [T.StructField("text", T.StringType()), T.StructField("n_removed", T.LongType())], lambda: _cut)
-    return out.select(*(f"`{c}`" for c in columns), "n_removed")
+    others = [F.col(f"`{c}`") for c in columns if c != "text"]  # in a struct, where no name can clash
+    rows = docs.select(F.struct(*others).alias("row"), F.col("doc_id").alias("id"), F.col("text").alias("body"))
+    joined = rows.join(found, F.col("id") == F.col("doc"), "left").select("row", "body", "removed")
+    out = map_texts(joined, "body", [T.StructField("text", T.StringType()), T.StructField("n_removed", T.LongType())], lambda: _cut)
+    return out.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in columns), "n_removed")
 
 
 def distinct_text(docs: DataFrame) -> DataFrame:

@@ -302,9 +302,15 @@ def test_plan(seed):
         for p in parts:
             used[p] += n
     assert used == Counter({k: v for k, v in counts.items() if v})
-    # No packing needs fewer than the tokens fill, or than there are pieces of which no two fit together.
-    least = max(-(-sum(k * v for k, v in counts.items()) // capacity), sum(v for k, v in counts.items() if 2 * k > capacity))
-    assert sum(n for _, n in runs) <= 1.1 * least + 1
+    # Not more than best fit decreasing, piece by piece, but for a sequence in fifty.
+    gaps = []
+    for p in sorted(Counter(counts).elements(), reverse=True):
+        fits = [g for g in gaps if g >= p]
+        gaps.append(capacity) if not fits else None
+        gap = min(fits) if fits else capacity
+        gaps.remove(gap)
+        gaps.append(gap - p)
+    assert sum(n for _, n in runs) <= 1.02 * len(gaps) + 1
 
 
 def test_plan_exact():

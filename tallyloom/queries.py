@@ -88,7 +88,7 @@ def _catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     return Catalog.from_tables(spark, sf_dir, TABLES)
 
 
-def _sums(text: str):
+def _sums(text: str, preaggregate: bool = False):
     """Only the relations that the text names are opened."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +96,7 @@ def _sums(text: str):
         opened = {TABLES[r] for r in query.relations}
         catalog = Catalog([])
         catalog.relations = [Catalog.from_tables(spark, sf_dir, [t])[0] if t in opened else None for t in TABLES]
-        return plan_query(query, catalog)
+        return plan_query(query, catalog, preaggregate=preaggregate)
 
     return run
 
@@ -195,6 +195,7 @@ def queries() -> dict:
     return out | {
         "scan_tbl": _scan_tbl, "catalog_load": _catalog_load, "full_scan_filter": _full_scan_filter, "sort_key_rowid": _sort_key_rowid,
         "col_stats": _col_stats, "catalog_stats": _catalog_stats, "est_filter_eq": _est_filter_eq, "est_join": _est_join,
+        "sum_pushdown": _sums(TEXTS["join_star"], preaggregate=True),
         "parse_query": _parse, "render_sql": _render, "read_batch": _read_batch,
         "result_lines": _answers([TEXTS["flagship"], TEXTS["sum_multi"], TEXTS["sum_empty"], TEXTS["sum_zero_null"]]),
     }
@@ -232,6 +233,7 @@ def oracle_sql() -> dict[str, str]:
         "est_filter_eq": "SELECT CAST(7 AS DOUBLE) AS low, CAST(7 AS DOUBLE) AS high, ROUND(CAST(COUNT(*) AS DOUBLE) / COUNT(DISTINCT o_custkey), 3) AS est_rows, CAST(1 AS DOUBLE) AS est_distinct FROM orders",
         "est_join": "SELECT CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high, ROUND(CAST(fa AS DOUBLE) * fb / (high - low + 1), 3) AS est_rows, ROUND(CAST(da AS DOUBLE) * db / (high - low + 1), 3) AS est_distinct FROM (SELECT GREATEST(la, lb) AS low, LEAST(ua, ub) AS high, * FROM (SELECT MIN(l_orderkey) AS la, MAX(l_orderkey) AS ua, COUNT(*) AS fa, COUNT(DISTINCT l_orderkey) AS da FROM lineitem) a, (SELECT MIN(o_orderkey) AS lb, MAX(o_orderkey) AS ub, COUNT(*) AS fb, COUNT(DISTINCT o_orderkey) AS db FROM orders) b) x",
         "parse_query": _sum("l_partkey l_suppkey", f"{_LO} WHERE o_custkey < 50"),
+        "sum_pushdown": SQL["join_star"],
         "render_sql": SQL["flagship"],
         "read_batch": _lines_sql(["join_equi", "sum_empty", "sum_zero_null"]),
         "result_lines": _lines_sql(["flagship", "sum_multi", "sum_empty", "sum_zero_null"]),

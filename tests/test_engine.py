@@ -58,6 +58,20 @@ def test_against_nested_loops(spark, domain):
             assert [None if v is None else int(v) for v in got] == brute(q, data), (text, data)
 
 
+def test_preaggregated_against_nested_loops(spark):
+    from tallyloom.plans.planner import join_tree
+
+    rng = random.Random(11)
+    texts = [*SHAPES, "0 1 2 0|0.0=1.0&0.1=2.0&1.1=3.0|0.1 1.1 2.1 3.1 0.0", "0 1 2|0.0=1.0&0.0=2.0&1.1>1|0.1 1.1 2.1 0.0", "1 0 2 1|3.0=0.0&1.0=0.1&2.1=1.1|2.0 3.1"]
+    assert [join_tree(parse_query(t)) is not None for t in texts].count(True) >= 8
+    data = [[(rng.randrange(4), rng.randrange(5)) for _ in range(n)] for n in (6, 7, 5)] + [[]]
+    catalog = Catalog([table(spark, rows, 2) for rows in data])
+    for text in texts:
+        q = parse_query(text)
+        got = plan_query(q, catalog, preaggregate=True).first()
+        assert [None if v is None else int(v) for v in got] == brute(q, data), text
+
+
 def test_unsigned_edges(spark):
     rows = [(1, 2**64 - 1), (5, 6), (7, 0), (9, 2**63), (9, 2**63 - 1)]
     catalog = Catalog([table(spark, rows, 2), table(spark, [(1, 2**63), (2, 2**63)], 2)], "u64")

@@ -40,6 +40,9 @@ FURNITURE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|aside|footer\w*|foot|header|masthead|topbar|toolbar|comments?|commentlist|replies|reply|respond|disqus|discussion|cookies?|consent|gdpr|notice\w*|alert|warning|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|register|paywall|share|sharing|social|related|recommend\w*|widget|pagination|pager|tags|copyright|legal|disclaimer|search\w*|form|skip\w*|hidden)(?=$|[\s_-])",
     re.IGNORECASE,
 )
+#: Beginnings of class names that tell of a page's layout, not of the element's own part in it.
+LAYOUT = ("has-", "no-", "with-", "without-", "is-", "category-", "tag-")
+COMMENT = re.compile(r"comments?|comment-.*|reply|replies|respond", re.IGNORECASE)
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>?", re.DOTALL)
@@ -56,13 +59,16 @@ class Node:
         self.density = self.total = 0.0
 
 
-def _is_furniture(attributes: str) -> bool:
-    if not attributes:
+def _is_furniture(tag: str, attributes: str) -> bool:
+    if not attributes or tag in ("html", "body", "main"):
         return False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
-        if name in ("class", "id") and FURNITURE.search(value):
-            return True
+        if name in ("class", "id"):
+            own = [x for x in value.split() if not x.lower().startswith(LAYOUT)]
+            # An article names its subject, too, in its classes: only those of a comment tell.
+            if any(COMMENT.fullmatch(x) if tag == "article" else FURNITURE.search(x) for x in own):
+                return True
         if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return True
     return False
@@ -116,7 +122,7 @@ def parse(page: str) -> Node:
                 node = found.parent
         if node.tag == "head" and tag not in DROPPED and tag not in ("meta", "link", "base"):
             node = node.parent
-        new = Node(tag, node, tag in DROPPED or _is_furniture(attributes) and tag not in ("html", "body", "article", "main"))
+        new = Node(tag, node, tag in DROPPED or _is_furniture(tag, attributes))
         node.parts.append(new)
         if tag in RAW:
             if lower is None:

@@ -375,6 +375,8 @@ def test_extract(spark):
     assert extract.text_of("plain text") == "plain text" and extract.text_of("") == extract.text_of(None) == "" and extract.text_of("<") == "<"
     assert extract.text_of("<article><p>a<br>b</p></article>") == "a b"
     assert extract.text_of("<!-- open") == "" and extract.text_of("<script>open") == ""
+    layout = '<body class="has-sidebar"><div class="page with-sidebar"><article class="post category-legal"><p>Kept text.</p></article><section class="comments"><article class="comment"><p>Dropped text, and longer than the other.</p></article></section></div></body>'
+    assert extract.text_of(layout) == "Kept text."
     deep = "<div>" * 5000 + "x" + "</div>" * 5000
     assert extract.text_of(deep) == "x"
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (3, "v", ""), (None, "w", "<p>" + "long " * 200_000 + "</p>")]

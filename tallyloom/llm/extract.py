@@ -5,9 +5,12 @@ links. Its density is characters per tag, scaled down by a logarithm whose base
 grows with the links' share. Children's densities are summed; the container
 with the largest sum is the start, the least density on its path up to body is
 the threshold, and in every branch that reaches the threshold the subtree with
-the largest sum is content. Elements that never hold article text (navigation,
-header and footer, forms, scripts, and those whose class or id names adverts,
-menus, notices, sidebars, comments) are removed before densities are taken.
+the largest sum is content. The start is widened to the article or main element
+around it, from a list or quotation to the box that holds it, and from one of
+several sections to all; a page's only h1 beside the path to it is its title.
+Elements that never hold article text (navigation, header and footer, forms,
+scripts, and those whose class or id names adverts, menus, notices, sidebars,
+comments) are removed before densities are taken.
 
 A block's white space becomes single spaces; blocks are joined by one newline
 in page order. Null and empty pages, and pages without text, give an empty
@@ -33,6 +36,7 @@ RAW = frozenset("script style textarea title noscript iframe noembed noframes xm
 DROPPED = frozenset("script style textarea title noscript iframe noembed noframes template nav header footer aside form button select option input label fieldset svg math canvas audio video object embed map dialog menu head".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("article body center div main section td table tbody blockquote details figure html ul ol dl".split())
+PARTS = frozenset("blockquote details figure ul ol dl".split())
 CLOSES_P = BLOCKS - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend"}
 #: An opening tag ends these open elements, up to a boundary.
 IMPLIED_END = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
@@ -188,36 +192,47 @@ def _contents(body: Node) -> list[Node]:
         return []
     boxes = [x for x in nodes if x.tag in CONTAINERS and x.chars]
     best = max(boxes, key=lambda x: x.total, default=body)  # the first of equals
-    up, lifted = best, None
-    while up is not None and up is not body.parent:
-        if up.tag in ("article", "main") and not lifted:
-            lifted = up
-        up = up.parent
-    best, threshold, up = lifted or best, best.density, best
-    while up is not body and up.parent is not None:
-        up = up.parent
-        threshold = min(threshold, up.density)
+    start, lifted = best.density, next((x for x in [best, *_path(best, body)] if x.tag in ("article", "main")), None)
+    best = lifted or _whole(best, body)
+    threshold = min([start, *(x.density for x in _path(best, body))])
+    inside = set(_path(best, body))
+    kept = {best}
+    if not any(x.tag == "h1" for x in _order(best)):
+        titles = [x for x in nodes if x.tag == "h1" and x.chars]
+        kept.update(x for x in titles if len(titles) == 1 and x.parent in inside)
+    # Beside an element that says it is the article, only further articles are content.
+    others = {"article"} if lifted else CONTAINERS | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "pre"}
     chosen, stack = [], [body]
-    inside = _ancestors(best)
     while stack:
         node = stack.pop()
-        if node is best:
+        if node in kept:
             chosen.append(node)
         elif node in inside:
             stack += [p for p in reversed(node.parts) if isinstance(p, Node) and not p.dropped and p.chars]
-        elif node.density >= threshold and node.tag in CONTAINERS | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "pre"}:
+        elif node.density >= threshold and node.tag in others:
             chosen.append(node)
     return chosen
 
 
-def _ancestors(node: Node) -> set[Node]:
-    out, node = set(), node.parent
-    while node is not None:
-        out.add(node)
+def _path(node: Node, body: Node) -> list[Node]:
+    """The ancestors of a node up to body."""
+    out = []
+    while node is not body and node.parent is not None:
         node = node.parent
+        out.append(node)
     return out
 
 
+def _whole(node: Node, body: Node) -> Node:
+    """The box around a list or quotation, or around several sections: parts of one text."""
+    for up in _path(node, body):
+        several = node.tag == "section" and sum(isinstance(p, Node) and p.tag == "section" and not p.dropped for p in up.parts) > 1
+        if node.tag not in PARTS and not several:
+            break
+        node = up
+    return node
+
+
 def text_of(page: str | None) -> str:
     """The main text of one page."""
     if not page:

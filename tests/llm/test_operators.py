@@ -386,6 +386,22 @@ def test_extract(spark):
     assert extract.extract(df.limit(0)).count() == 0
 
 
+def test_extract_layouts():
+    long = "Words of a paragraph that goes on for long enough to be dense, and then some more of them. " * 3
+    said = long.strip()
+    page = lambda inner: extract.text_of(f"<html><body>{inner}</body></html>").split("\n")
+    # A title beside the text's box, furniture around it.
+    assert page(f'<div id="page-header">Site</div><h1>Title</h1><div><p>{long}</p><p>End.</p></div><div class="related-posts"><p>{long}</p></div>') == ["Title", said, "End."]
+    # A long quotation is not the whole text, nor is the longest of several sections.
+    assert page(f"<div><p>First.</p><blockquote><p>{long}</p><p>{long}</p></blockquote><p>Last.</p></div>") == ["First.", said, said, "Last."]
+    assert page(f"<div><section><h2>A</h2><p>{long}</p></section><section><h2>B</h2><p>Short.</p></section></div>") == ["A", said, "B", "Short."]
+    # Dense text of no telling name beside an article isn't part of it; a second article is.
+    assert page(f'<div class="xyz"><p>{long}</p></div><article><p>{long}</p><p>{long}</p></article>') == [said, said]
+    assert page(f"<article><p>{long}</p></article><article><p>{long}</p></article>") == [said, said]
+    # Cells of a layout table.
+    assert page(f"<table><tr><td><a href=a>menu</a><td><h2>A</h2><p>{long}<p>{long}</table>") == ["A", said, said]
+
+
 def test_extract_article_of_pages(spark):
     import html
 

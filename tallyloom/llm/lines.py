@@ -7,7 +7,11 @@ lines that the two share are aligned as patience diff does: lines that occur
 once in both, in the longest order common to both, are anchors; equal lines
 next to anchors and, between anchors, the same again. Runs of aligned lines
 are the common blocks; those of ``BLOCK_WORDS`` words or more are deleted from
-the later document. Rare means here: long enough in sum and once in both, not
+the later document. Lines left over are aligned again, so that blocks in another
+order go too. What any other earlier document has is found without more pairs:
+windows, the shortest runs of lines with ``BLOCK_WORDS`` words from each line on
+and up to each line, are hashed as lines are, and one that an earlier document
+has is deleted; they cover every run of lines of so many words. Rare means here: long enough in sum and once in both, not
 an upper bound on how many documents share it, so a passage in a third of all
 documents goes as well.
 
@@ -20,9 +24,10 @@ those named like an output are replaced.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -37,21 +42,39 @@ BLOCK_WORDS = 25
 Line = tuple[int, int]  # position, hash
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, "text"):
-            docs, hashes, places, words = [], [], [], []
-            for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                if doc is None or not text:
-                    continue
-                own: dict[str, list[int]] = defaultdict(list)
-                for i, line in enumerate(filter(None, map(str.strip, text.split("\n")))):
-                    own[line].append(i)
-                docs += [doc] * len(own)
-                hashes += [xxhash.xxh3_64_intdigest(line) - 2**63 for line in own]
-                places += own.values()
-                words += [len(line.split()) for line in own]
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(hashes, pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(words, pa.int32())], ["doc_id", "h", "places", "words"])
+def windows(words: list[int], least_words: int) -> list[tuple[int, int]]:
+    """The shortest ranges [start, end) with ``least_words`` words from each line on and up to each line, but for single lines."""
+    sums = [0, *accumulate(words)]
+    if sums[-1] < least_words:
+        return []
+    out = {(i, bisect_left(sums, sums[i] + least_words)) for i in range(len(words))}
+    out |= {(bisect_right(sums, sums[i] - least_words) - 1, i) for i in range(1, len(sums))}
+    return sorted((a, b) for a, b in out if 0 <= a < b - 1 and b < len(sums))
+
+
+def _occurrences(least_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                docs, hashes, places, words, spans = [], [], [], [], []
+                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    if doc is None or not text:
+                        continue
+                    own: dict[str, list[int]] = defaultdict(list)
+                    lines = list(filter(None, map(str.strip, text.split("\n"))))
+                    for i, line in enumerate(lines):
+                        own[line].append(i)
+                    for a, b in windows([len(line.split()) for line in lines], least_words):
+                        own["\n".join(lines[a:b])].append(a)
+                    docs += [doc] * len(own)
+                    hashes += [xxhash.xxh3_64_intdigest(x) - 2**63 for x in own]
+                    places += own.values()
+                    words += [len(x.split()) for x in own]
+                    spans += [x.count("\n") + 1 for x in own]
+                arrays = [pa.array(docs, pa.int64()), pa.array(hashes, pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(words, pa.int32()), pa.array(spans, pa.int32())]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "h", "places", "words", "span"])
+
+    return run
 
 
 def _longest_increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -105,19 +128,10 @@ def align(later: list[Line], earlier: list[Line]) -> list[tuple[int, int]]:
     return out
 
 
-def common_blocks(rows: list[tuple[int, int, list[int], list[int], int]], least_words: int) -> list[tuple[int, int]]:
-    """Ranges [start, end) of a document's lines to delete, from (hash, earlier document, places here, places there, words)."""
-    pairs: dict[int, tuple[list[Line], list[Line]]] = defaultdict(lambda: ([], []))
-    words: dict[int, int] = {}
-    for h, other, here, there, n in rows:
-        pairs[other][0].extend((p, h) for p in here)
-        pairs[other][1].extend((p, h) for p in there)
-        words.update(dict.fromkeys(here, n))
-    aligned: set[int] = set()
-    for here, there in pairs.values():
-        aligned.update(p for p, _ in align(sorted(here), sorted(there)))
+def _runs(places: set[int], words: dict[int, int], least_words: int) -> list[tuple[int, int]]:
+    """Ranges [start, end) of adjoining places with enough words."""
     out, run = [], []
-    for p in [*sorted(aligned), -1]:
+    for p in [*sorted(places), -1]:
         if run and p != run[-1] + 1:
             if sum(words[x] for x in run) >= least_words:
                 out.append((run[0], run[-1] + 1))
@@ -126,6 +140,35 @@ def common_blocks(rows: list[tuple[int, int, list[int], list[int], int]], least_
     return out
 
 
+def common_blocks(rows: list[tuple[int, int, list[int], list[int] | None, int, int]], least_words: int) -> list[tuple[int, int]]:
+    """Ranges [start, end) of a document's lines to delete, from (hash, earlier document, places here, places there, words, lines)."""
+    pairs: dict[int, tuple[list[Line], list[Line]]] = defaultdict(lambda: ([], []))
+    words: dict[int, int] = {}
+    gone: set[int] = set()
+    for h, other, here, there, n, span in rows:
+        if span == 1:
+            pairs[other][0].extend((p, h) for p in here)
+            pairs[other][1].extend((p, h) for p in there)
+            words.update(dict.fromkeys(here, n))
+        if n >= least_words:
+            gone.update(x for p in here for x in range(p, p + span))
+    held = frozenset(gone)
+    for here, there in pairs.values():
+        here, there = sorted(here), sorted(there)
+        found = {p for p, _ in align(here, there)}
+        gone |= found
+        left = [x for x in here if x[0] not in found and x[0] not in held]
+        while left:  # blocks in another order
+            hashes = {h for _, h in left}
+            moved = _runs({p for p, _ in align(left, [x for x in there if x[1] in hashes])}, words, least_words)
+            if not moved:
+                break
+            found = {p for a, b in moved for p in range(a, b)}
+            gone |= found
+            left = [x for x in left if x[0] not in found]
+    return _runs(gone, words, least_words)
+
+
 _RANGES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
@@ -133,7 +176,7 @@ def _blocks(least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, cuts in whole_groups(batches, ["doc_id"]):
             doc = table.column("doc_id").to_pylist()
-            rows = list(zip(*(table.column(c).to_pylist() for c in ("h", "earliest", "places", "there", "words")), strict=True))
+            rows = list(zip(*(table.column(c).to_pylist() for c in ("h", "earliest", "places", "there", "words", "span")), strict=True))
             found = [(doc[a], common_blocks(rows[a:b], least_words)) for a, b in zip(cuts, cuts[1:], strict=False)]
             found = [x for x in found if x[1]]
             if found:
@@ -147,15 +190,16 @@ def shared_blocks(docs: DataFrame, least_words: int = BLOCK_WORDS) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    lines = materialize(texts.mapInArrow(_occurrences, "doc_id bigint, h bigint, places array<int>, words int"), "lines")
+    lines = materialize(texts.mapInArrow(_occurrences(least_words), "doc_id bigint, h bigint, places array<int>, words int, span int"), "lines")
     first = lines.groupBy("h").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest")).where("latest > earliest").select(F.col("h").alias("g"), "earliest")
     # Written, so that both sides of each join are plain shuffles and adaptive execution can split a hot line.
     first = materialize(first, "first_lines")
     shared = materialize(lines.join(first, F.col("h") == F.col("g")).drop("g"), "shared_lines")
-    there = shared.where("doc_id = earliest").groupBy("h").agg(F.flatten(F.collect_list("places")).alias("there")).withColumnRenamed("h", "g")
+    there = shared.where("doc_id = earliest and span = 1").groupBy("h").agg(F.flatten(F.collect_list("places")).alias("there")).withColumnRenamed("h", "g")
     there = materialize(there, "earliest_lines")
-    pairs = shared.where("doc_id > earliest").join(there, F.col("h") == F.col("g")).drop("g")
-    dealt = pairs.repartition("doc_id").sortWithinPartitions("doc_id")
+    pairs = shared.where("doc_id > earliest and span = 1").join(there, F.col("h") == F.col("g")).drop("g")
+    held = shared.where("doc_id > earliest and span > 1").withColumn("there", F.lit(None).cast("array<int>"))
+    dealt = pairs.unionByName(held).repartition("doc_id").sortWithinPartitions("doc_id")
     return dealt.mapInArrow(_blocks(least_words), "doc bigint, removed array<struct<start:int,end:int>>")
 
 

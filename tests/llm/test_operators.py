@@ -246,6 +246,54 @@ def test_alignment():
         assert all(x < y and p < q for (x, p), (y, q) in zip(got, got[1:], strict=False))
 
 
+def test_line_dedup_other_order(spark):
+    p, q, r = ("\n".join(prose(60 + 10 * k + i, 10) for i in range(4)) for k in range(3))  # passages of four lines of ten words
+    own = [prose(90 + i, 20) for i in range(8)]
+    t, u = "\n".join(prose(400 + i, 10) for i in range(5)), "\n".join(prose(410 + i, 10) for i in range(4))
+    s = "\n".join([*u.split("\n")[:2], prose(420, 10), *u.split("\n")[2:]])
+    gap = "\n".join([*q.split("\n")[:2], own[4], *q.split("\n")[2:]])
+    rows = [
+        (1, f"{p}\n{q}"), (2, f"{own[0]}\n{q}"), (3, f"{own[1]}\n{q}\n{p}\n{own[2]}"),  # both orders, and one alone between
+        (4, f"{r}\n{own[3]}\n{gap}"), (5, f"{gap}\n{own[5]}\n{r}"),  # halves of a passage, too short; then the same text in the other order
+        (6, "\n".join([*p.split("\n")[2:], own[6], *p.split("\n")[:2]])),  # pieces of a passage, too short
+        (7, f"{own[7]}\n" + "\n".join(p.split("\n")[::-1])),  # its lines the other way round
+        (8, f"{s}\n{t}"), (9, f"{t}\n{u}"),  # a moved block, in the earlier document with a line inside
+    ]
+    got = {x.doc_id: x.text for x in lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[1] == rows[0][1] and got[2] == own[0] and got[3] == f"{own[1]}\n{own[2]}"
+    assert got[4] == rows[3][1] and got[5] == own[5]
+    assert got[8] == rows[7][1] and got[9] == ""
+    assert got[6] == rows[5][1] and got[7] == rows[6][1]
+
+
+def test_line_dedup_leaves_no_block(spark):
+    rng = random.Random(8)
+    passages = [[prose(500 + 20 * k + i, rng.choice((3, 9, 14, 30))) for i in range(rng.randint(2, 6))] for k in range(8)]
+    rows = []
+    for d in range(60):
+        parts = [[prose(9000 + 10 * d, 12)], *rng.sample(passages, rng.randint(0, 4)), [prose(9001 + 10 * d, 12)]]
+        rows.append((d, "\n".join(x for part in parts for x in part)))
+    got = {x.doc_id: x.text.split("\n") for x in lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    texts = {d: t.split("\n") for d, t in rows}
+    runs = lambda own: {tuple(own[a:b]) for a in range(len(own)) for b in range(a + 1, len(own) + 1) if sum(len(x.split()) for x in own[a:b]) >= lines.BLOCK_WORDS}
+    seen = set()
+    for d, own in texts.items():
+        assert not runs(got[d]) & seen and got[d][0] == own[0] and got[d][-1] == own[-1]
+        seen |= runs(own)
+
+
+def test_windows_cover_runs():
+    rng = random.Random(2)
+    for _ in range(200):
+        counts = [rng.randint(1, 30) for _ in range(rng.randint(0, 14))]
+        found = lines.windows(counts, 25) + [(i, i + 1) for i, n in enumerate(counts) if n >= 25]
+        assert all(sum(counts[a:b]) >= 25 for a, b in found)
+        for a in range(len(counts)):
+            for b in range(a + 1, len(counts) + 1):
+                if sum(counts[a:b]) >= 25:
+                    assert {x for c, d in found if a <= c and d <= b for x in range(c, d)} == set(range(a, b))
+
+
 # Packing
 
 

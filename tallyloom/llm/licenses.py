@@ -1,11 +1,12 @@
 """Licences of files: TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Lines of a file that hold a word of enough weight are its candidate statements,
-singly and, where they follow each other, joined. Their sparse TF-IDF vectors
-are compared with the templates' by cosine; a statement below the threshold
-isn't one. Words that can be skipped are found from the weights: a line with
-none of the trigger words cannot reach the threshold, so nothing is lost. A
-file named like a licence file speaks for its directory; a file without a
+Runs of lines around a word of enough weight are a file's candidate statements:
+every run that begins and ends with a line with words of templates and has no
+more words than could still reach the threshold with the longest template. Their
+sparse TF-IDF vectors are compared with the templates' by cosine; a statement
+below the threshold isn't one. Words that can be skipped are found from the
+weights: lines with none of the trigger words cannot reach the threshold, so
+nothing is lost. Of equal runs the first and shortest counts. A file named like a licence file speaks for its directory; a file without a
 statement of its own takes the licence of its nearest ancestor directory.
 Directories, not files, are joined with their ancestors, so the join grows with
 the directories and their depth.
@@ -22,6 +23,7 @@ import math
 import re
 from bisect import bisect_right
 from collections import Counter, defaultdict
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,21 +35,25 @@ from .common import map_texts, materialize
 THRESHOLD = 0.6
 LICENSE_FILE = r"(?i)(^|/)(un)?licen[cs]e[^/]*$|(^|/)copying[^/]*$|(^|/)notice[^/]*$"
 
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_WARRANTY = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+
 # The customary notices of public licences, by SPDX identifier.
 TEMPLATES = {
     "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'],
-    "BSD-2-Clause": ["Released under the BSD 2-Clause License.", "Licensed under the simplified BSD license."],
-    "BSD-3-Clause": ["Released under the BSD 3-Clause License.", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."],
+    "BSD-2-Clause": ["Released under the BSD 2-Clause License.", "Licensed under the simplified BSD license.", f"{_BSD} {_BSD_WARRANTY}"],
+    "BSD-3-Clause": ["Released under the BSD 3-Clause License.", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", f"{_BSD} {_BSD_NAMES} {_BSD_WARRANTY}"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC0-1.0": ["Released under CC0 1.0 Universal.", "To the extent possible under law, the author has waived all copyright and related rights to this work under CC0."],
     "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2."],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
-    "ISC": ["Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."],
+    "ISC": ["Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'],
     "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
-    "MIT": ["Released under the MIT License.", "Licensed under the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."],
+    "MIT": ["Released under the MIT License.", "Licensed under the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'],
     "MPL-2.0": ["Licensed under the Mozilla Public License, Version 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
@@ -85,6 +91,9 @@ class Matcher:
                 if passed >= (threshold - 1e-9) ** 2:
                     triggers.add(w)
         self.triggers = triggers
+        #: Words of a run: all of the longest template's and as many others of equal weight as leave the threshold in reach.
+        self.most_words = math.ceil(max((sum(c.values()) for _, c in entries), default=0) / threshold**2)
+
     def best(self, statement: str) -> tuple[str | None, float]:
         """The closest template's name and cosine; no name below the threshold."""
         counts = Counter(tokens(statement))
@@ -120,16 +129,50 @@ class Matcher:
                 numbers.add(k - 1)
                 at = lower.find(t, starts[k]) if k < len(starts) else -1  # from the next line on
         ends = [*(a - 1 for a in starts[1:]), len(lower)]
-        run: list[tuple[int, str]] = []
-        for number in sorted(numbers):
-            line = lower[starts[number] : ends[number]]
-            if self.triggers.isdisjoint(tokens(line)):
-                continue
-            run = [*run[-7:], (number, line)] if run and number == run[-1][0] + 1 else [(number, line)]
-            for start in {0, len(run) - 1}:
-                name, cosine = self.best(" ".join(x for _, x in run[start:]))
+        words: dict[int, list[str]] = {}
+
+        def line(n: int) -> list[str]:
+            if n not in words:
+                words[n] = tokens(lower[starts[n] : ends[n]])
+            return words[n]
+
+        stated = [n for n in sorted(numbers) if not self.triggers.isdisjoint(line(n))]
+        before = -1
+        for at in stated:
+            first, room = at, self.most_words - len(line(at))
+            while first - 1 > before and room >= len(line(first - 1)):
+                first -= 1
+                room -= len(line(first))
+            for start in range(first, at + 1):
+                best = self._runs_from(start, at, len(starts), line, best)
+                if best[1] >= 1:  # no other can be closer
+                    return best
+            before = at
+        return best
+
+    def _runs_from(self, start: int, trigger: int, n_lines: int, line: Callable[[int], list[str]], best: tuple[str | None, float, int | None]) -> tuple[str | None, float, int | None]:
+        """The better of ``best`` and the runs of lines from ``start`` on that reach the line ``trigger``."""
+        if self.idf.keys().isdisjoint(line(start)):
+            return best
+        counts: Counter[str] = Counter()
+        dots, square, n = [0.0] * len(self.names), 0.0, 0
+        for end in range(start, n_lines):
+            n += len(line(end))
+            if n > self.most_words and end > start:
+                break
+            known = False
+            for w in line(end):
+                x = self.idf.get(w, self.unseen)
+                square += (2 * counts[w] + 1) * x * x
+                counts[w] += 1
+                for i, y in self.index.get(w, ()):
+                    dots[i] += x * y
+                    known = True
+            # Sums taken in another order differ in the last digits: what may be better is computed again.
+            if known and end >= trigger and max(dots) >= (max(best[1], self.threshold) - 1e-9) * math.sqrt(square):
+                name, cosine = self.best(" ".join(counts.elements()))
                 if name and cosine > best[1]:
-                    best = (name, cosine, run[start][0])
+                    best = (name, cosine, start)
         return best
 
 

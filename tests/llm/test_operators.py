@@ -581,3 +581,39 @@ def test_license_triggers_lose_nothing(spark):
             if name and cosine > want[1]:
                 want = (name, cosine, i)
         assert matcher.scan(text)[:2] == want[:2]
+
+
+def test_license_wrapped_statements():
+    import textwrap
+
+    matcher = licenses.Matcher()
+    header = "# Copyright (c) 2019 The Example Authors. All rights reserved.\n"
+    name, cosine, line = matcher.scan(header + "# This work is licensed\n# under a Creative Commons\n# Attribution-NonCommercial\n# 4.0 International License.\ncode")
+    assert (name, cosine, line) == ("CC-BY-NC-4.0", 1.0, 1)
+    for name, own in licenses.TEMPLATES.items():
+        for text in own:
+            if sum(text in texts for texts in licenses.TEMPLATES.values()) > 1:
+                continue
+            for width in (14, 30, 70):  # over many lines, some without a word of weight
+                wrapped = header + "//\n" + "\n".join("// " + x for x in textwrap.wrap(text, width, break_on_hyphens=False, break_long_words=False)) + "\nint main() {}\n"
+                assert matcher.scan(wrapped)[:2] == (name, 1.0), (name, width)
+    # Copies as they are met, with a title and a holder's name.
+    title = "BSD License\n\nCopyright (c) 2020, A. Holder\n\n"
+    texts = {n: max(licenses.TEMPLATES[n], key=len) for n in ("BSD-2-Clause", "BSD-3-Clause", "MIT", "ISC")}
+    assert all(len(t) > 500 for t in texts.values())
+    for name, text in texts.items():
+        assert matcher.scan(title + "\n".join(textwrap.wrap(text.replace("copyright holder ", "A. Holder "), 72)))[0] == name
+
+
+def test_license_runs_brute():
+    rng = random.Random(6)
+    templates = {n: licenses.TEMPLATES[n] for n in ("CC-BY-4.0", "CC-BY-NC-4.0", "CC0-1.0", "GPL-2.0", "Unlicense")}
+    matcher = licenses.Matcher(templates)
+    pool = [w for own in templates.values() for t in own for w in t.split()] + ["plain", "prose", "this"] * 6
+    for _ in range(60):
+        text = "\n".join(" ".join(rng.choice(pool) for _ in range(rng.randint(0, 6))) for _ in range(12))
+        if rng.random() < 0.5:
+            text += "\n" + "\n".join(rng.choice(templates[rng.choice([*templates])]).split(" ", 4)) + "\nplain prose"
+        rows = text.split("\n")
+        runs = [matcher.best(" ".join(rows[a:b])) for a in range(len(rows)) for b in range(a + 1, len(rows) + 1)]
+        assert matcher.scan(text)[1] == max((c for n, c in runs if n), default=0.0)

@@ -18,6 +18,7 @@ are replaced.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from bisect import bisect_left, bisect_right
@@ -44,21 +45,34 @@ class PieceTokenizer:
     over its merges, which gives the same ids as ``tokenizers`` several times
     faster (a test compares them). The pattern's look-ahead is slow and only
     tells on runs of white space, so texts without one go by a pattern without it.
+    With ``added``, the file's added tokens in a text get their own ids, as
+    ``tokenizers`` does by default; else they are text (its ``encode_special_tokens``).
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import json
 
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model = file["model"]
         back = {c: b for b, c in _byte_characters().items()}
         ranks = {bytes(back[c] for c in token): i for token, i in model["vocab"].items() if all(c in back for c in token) and not (token.startswith("<|") and token.endswith("|>"))}
         self.whole = tiktoken.Encoding("whole", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.plain = tiktoken.Encoding("plain", pat_str=_PATTERN.replace(_LOOK_AHEAD, ""), mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        own = file.get("added_tokens") or [] if added else []
+        if any(t.get(k) for t in own for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError(f"{path}: added tokens that are whole words or take white space in are not supported")
+        self.added = {t["content"]: array("I", [t["id"]]).tobytes() for t in own}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if own else None
 
     def __call__(self, text: str) -> bytes:
+        if self.split and any(t in text for t in self.added):
+            return b"".join(self.added[x] if k % 2 else self._text(x) for k, x in enumerate(self.split(text)))
+        return self._text(text)
+
+    def _text(self, text: str) -> bytes:
         spaced = text.replace("\n", " ")  # all other white space isn't printable
         encode = self.plain if spaced.isprintable() and "  " not in spaced else self.whole
         return array("I", encode(text)).tobytes()
@@ -70,7 +84,7 @@ _tokenizers: dict[str, PieceTokenizer] = {}
 def tokenizer(path: str) -> PieceTokenizer:
     """One a process and file; a worker keeps it for its next tasks."""
     if path not in _tokenizers:
-        _tokenizers[path] = PieceTokenizer(path)
+        _tokenizers[path] = PieceTokenizer(path, added=True)
     return _tokenizers[path]
 
 

@@ -308,6 +308,20 @@ def test_tokens_match_library():
         assert encode(t) == np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t[:50]
 
 
+def test_added_tokens_match_library(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(packing.tokenizer_path())
+    encode = packing.tokenizer(packing.tokenizer_path())
+    mark = "<|endoftext|>"
+    texts = [t for _, t, *_ in NASTY if t] + [f"a {mark} b", mark, mark * 3, f" {mark}  {mark}\n", f"x \n {mark}y", f"<|{mark}|>", "<|endoftext| >", "<|ENDOFTEXT|>", f"it's{mark}'s  c"]
+    assert encode(f"a {mark} b") == np.array([64, 220, 50256, 275], "<u4").tobytes()
+    for t in texts:
+        assert encode(t) == np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t[:50]
+    rows = packing.pack_documents(spark.createDataFrame([(1, f"a {mark} b")], "doc_id bigint, text string")).collect()
+    assert [(r.length, r.ids) for r in rows] == [(5, [64, 220, 50256, 275, 2])]
+
+
 def check_packing(rows, capacity):
     by = defaultdict(list)
     for r in rows:

@@ -37,6 +37,7 @@ TEXTS = {
     "join_extend": "6 5 2 1|0.0=1.0&1.1=2.0&2.1=3.0&3.1=2|0.0 2.0 3.0",
     "join_bushy": "6 5 3 1|0.0=1.0&2.1=3.0&0.2=2.0|1.1 3.1 0.1",
     "self_join": "5 5|0.1=1.1&0.0<500|0.0 1.0",
+    "self_join_all": "5 5|0.1=1.1|0.0 1.0",
     "join_multi_key": "6 5|0.0=1.0&0.1=1.1|0.0 1.1",
     "join_redundant": "6 5|0.0=1.0&1.0=0.0&0.0=1.0|0.1",
     "join_star": "6 5 4 3|0.0=1.0&0.1=2.0&0.2=3.0&2.1<10|1.1 2.1 3.1",
@@ -71,6 +72,7 @@ SQL = {
     "join_extend": _sum("l_orderkey c_custkey n_nationkey", f"{_LOC} JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2"),
     "join_bushy": _sum("o_custkey n_regionkey l_partkey", f"{_LO} JOIN (supplier JOIN nation ON s_nationkey = n_nationkey) ON l_suppkey = s_suppkey"),
     "self_join": _sum("a.o_orderkey b.o_orderkey", "orders a JOIN orders b ON a.o_custkey = b.o_custkey WHERE a.o_orderkey < 500"),
+    "self_join_all": _sum("a.o_orderkey b.o_orderkey", "orders a JOIN orders b ON a.o_custkey = b.o_custkey"),
     "join_multi_key": _sum("l_orderkey o_custkey", f"{_LO} AND l.l_partkey = o.o_custkey"),
     "join_redundant": _sum("l_partkey", _LO),
     "join_star": _sum("o_custkey p_size s_nationkey", f"{_LO} JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE p_size < 10"),
@@ -196,6 +198,7 @@ def queries() -> dict:
         "scan_tbl": _scan_tbl, "catalog_load": _catalog_load, "full_scan_filter": _full_scan_filter, "sort_key_rowid": _sort_key_rowid,
         "col_stats": _col_stats, "catalog_stats": _catalog_stats, "est_filter_eq": _est_filter_eq, "est_join": _est_join,
         "sum_pushdown": _sums(TEXTS["join_star"], preaggregate=True),
+        "self_join_all": _sums(TEXTS["self_join_all"], preaggregate=True),  # no pairs of a hot customer's orders
         "parse_query": _parse, "render_sql": _render, "read_batch": _read_batch,
         "result_lines": _answers([TEXTS["flagship"], TEXTS["sum_multi"], TEXTS["sum_empty"], TEXTS["sum_zero_null"]]),
     }

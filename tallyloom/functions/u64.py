@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DOMAINS = ("bigint", "u64")
-_TWO32, _TWO64 = 2**32, 2**64
+_TWO64 = 2**64
 U64_TYPE = "decimal(20,0)"
 
 
@@ -37,15 +37,27 @@ def compare(col: Column, op: str, value: int, domain: str = "u64") -> Column:
     return ((col < 0) & (col > k)) if op == ">" else ((col >= 0) | (col < k))
 
 
+def unsigned(col: Column) -> Column:
+    """The value of a bit pattern, as decimal(20,0)."""
+    wide = col.cast(U64_TYPE)
+    return F.when(col < 0, wide + F.lit(str(_TWO64)).cast(U64_TYPE)).otherwise(wide).cast(U64_TYPE)
+
+
 def wrapped_sum(col: Column, domain: str = "u64") -> Column:
-    """SUM(col): BIGINT in the bigint domain, else decimal(20,0) modulo 2^64, by two 32-bit halves that can't overflow below 2^31 rows a group times 2^32."""
+    """SUM(col): BIGINT in the bigint domain, else decimal(20,0) modulo 2^64.
+
+    The four 16-bit parts of a value are summed as BIGINT, which can't overflow
+    below 2^47 rows, and are put together once, from the final sums.
+    """
     if domain == "bigint":
         return F.sum(col)
-    high = F.sum(F.shiftrightunsigned(col, 32)).cast("decimal(38,0)")
-    low = F.sum(col.bitwiseAND(F.lit(_TWO32 - 1))).cast("decimal(38,0)")
-    two32, two64 = (F.lit(str(x)).cast("decimal(20,0)") for x in (_TWO32, _TWO64))
-    carried = (high % two32).cast("decimal(10,0)") * two32.cast("decimal(10,0)") + low.cast("decimal(20,0)")
-    return (carried % two64).cast(U64_TYPE)
+    out = None
+    for k in range(4):
+        part = F.sum(F.shiftrightunsigned(col, 16 * k).bitwiseAND(F.lit(0xFFFF).cast("bigint")))
+        kept = part.bitwiseAND(F.lit(2 ** (64 - 16 * k) - 1).cast("bigint")) if k else part  # what is beyond 2^64 wraps away
+        term = (kept.cast(U64_TYPE) * F.lit(str(2 ** (16 * k))).cast("decimal(15,0)")).cast("decimal(21,0)")
+        out = term if out is None else out + term
+    return (out % F.lit(str(_TWO64)).cast(U64_TYPE)).cast(U64_TYPE)
 
 
 def zero_as_null(col: Column) -> Column:

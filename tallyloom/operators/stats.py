@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.catalog import Catalog
+if TYPE_CHECKING:
+    from ..sources.catalog import Catalog
 
 
 def column_stats(df: DataFrame) -> DataFrame:

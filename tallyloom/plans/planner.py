@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import u64
 from ..sources.catalog import Catalog
 from .estimates import JoinCost
-from .graph import check_connected, distinct_joins, join_order
+from .graph import check_connected, class_edges, equivalence_classes, join_order
 from .query import Query, Ref, parse_query
 
 
@@ -36,14 +36,15 @@ def validate(query: Query, catalog: Catalog) -> None:
 
 
 def scan(query: Query, catalog: Catalog, binding: int) -> DataFrame:
-    """One binding: its filters and the equalities inside a row, then only the columns that the query needs."""
+    """One binding: its filters and the equalities inside a row, implied ones included, then only the columns that the query needs."""
     df = catalog[query.relations[binding]]
     for f in query.filters:
         if f.ref.binding == binding:
             df = df.where(u64.compare(df[f"c{f.ref.column}"], f.op, f.value, catalog.domain))
-    for j in distinct_joins(query):
-        if j.left.binding == j.right.binding == binding:
-            df = df.where(df[f"c{j.left.column}"] == df[f"c{j.right.column}"])
+    for refs in equivalence_classes(query):
+        own = [df[f"c{r.column}"] for r in refs if r.binding == binding]
+        for c in own[1:]:
+            df = df.where(own[0] == c)
     needed = sorted({r for r in query.refs() if r.binding == binding})
     return df.select(*(df[f"c{r.column}"].alias(name(r)) for r in needed))
 
@@ -52,22 +53,22 @@ def joined(query: Query, catalog: Catalog, reorder: bool = False) -> DataFrame:
     """All bindings joined; columns ``b<binding>_c<column>``."""
     validate(query, catalog)
     cost = JoinCost(query, catalog.bound_stats(query)) if reorder and len(query.relations) > 2 else None
-    order, edges = join_order(query, cost), [j for j in distinct_joins(query) if j.left.binding != j.right.binding]
+    order, classes = join_order(query, cost), equivalence_classes(query)
     out, bound = scan(query, catalog, order[0]), {order[0]}
     for b in order[1:]:
         right = scan(query, catalog, b)
         on = []
-        for j in edges:
-            near, far = (j.left, j.right) if j.right.binding == b else (j.right, j.left)
-            if far.binding == b and near.binding in bound:
-                on.append(out[name(near)] == right[name(far)])
+        for refs in classes:  # a class is met once: its bound columns are equal already
+            here, there = (next((r for r in refs if r.binding in s), None) for s in ({b}, bound))
+            if here and there:
+                on.append(out[name(there)] == right[name(here)])
         out, bound = out.join(right, u64.all_of(on), "inner"), bound | {b}
     return out
 
 
 def join_tree(query: Query) -> list[tuple[int, Ref, Ref]] | None:
     """(binding, its key, its parent's key), leaves first, if one edge ties each binding to a tree under binding 0; else None."""
-    edges = [j for j in distinct_joins(query) if j.left.binding != j.right.binding]
+    edges = class_edges(query)
     if len(edges) != len(query.relations) - 1:
         return None
     order, bound = [], {0}
@@ -114,14 +115,27 @@ def preaggregated(query: Query, catalog: Catalog) -> DataFrame | None:
     return frames[0].agg(*(sums[f"s{i}"] for i in range(len(query.sums))))
 
 
-def plan_query(query: Query | str, catalog: Catalog, reorder: bool = False, zero_as_null: bool = True, preaggregate: bool = False) -> DataFrame:
+def fans_out(query: Query, catalog: Catalog) -> bool:
+    """Whether statistics that have been taken tell of a join whose keys repeat on both sides."""
+    if not catalog.knows(query.relations):
+        return False
+    stats = catalog.bound_stats(query)
+    repeats = lambda r: stats[r].rows > stats[r].distinct
+    return any(repeats(j.left) and repeats(j.right) for j in class_edges(query))
+
+
+def plan_query(query: Query | str, catalog: Catalog, reorder: bool = False, zero_as_null: bool = True, preaggregate: bool | None = None) -> DataFrame:
     """The sums of a query, in SELECT order. A sum of 0 is NULL, as on no row, unless ``zero_as_null`` is off.
 
     ``preaggregate`` sums below the joins where the query allows it, which pays
-    where keys repeat on both sides.
+    where keys repeat on both sides; by default it is done where statistics that
+    the catalog has taken say so.
     """
     if isinstance(query, str):
         query = parse_query(query, allow_no_predicates=True)
+    if preaggregate is None:
+        validate(query, catalog)
+        preaggregate = fans_out(query, catalog)
     if preaggregate and (out := preaggregated(query, catalog)) is not None:
         sums = [F.col(c).cast("bigint") for c in out.columns]
         return out.select(*((u64.zero_as_null(s) if zero_as_null else s).alias(f"s{i}") for i, s in enumerate(sums)))

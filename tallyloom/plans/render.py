@@ -14,6 +14,7 @@ def render_sql(query: Query, quote: str = '"') -> str:
     def col(ref) -> str:
         return f"{quote}{ref.binding}{quote}.c{ref.column}"
 
+    # The words and marks of the SQL form, set by its format.
     sums = ", ".join(f"SUM({col(r)})" for r in query.sums)
     tables = ", ".join(f"r{rel} {quote}{i}{quote}" for i, rel in enumerate(query.relations))
     where = [f"{col(j.left)}={col(j.right)}" for j in query.joins] + [f"{col(f.ref)}{f.op}{f.value}" for f in query.filters]

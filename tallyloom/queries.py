@@ -5,8 +5,6 @@ The SQL is written by hand, not rendered, so that both sides share no fault.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +13,9 @@ from .plans.estimates import ColumnStat, estimate_equality, estimate_join
 from .plans.planner import plan_query
 from .plans.query import Ref, parse_query
 from .plans.render import render_sql
-from .sources import files
+from .sources import binary, files
 from .sources.catalog import Catalog
+from .storage import shared_path
 from .streaming.batches import read_batches
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "labels", "pages", "benchmark", "conversations")
@@ -36,8 +35,7 @@ TEXTS = {
     "join_initial": "5 2|0.1=1.0&0.0>50&1.1<20|0.0 1.1",
     "join_extend": "6 5 2 1|0.0=1.0&1.1=2.0&2.1=3.0&3.1=2|0.0 2.0 3.0",
     "join_bushy": "6 5 3 1|0.0=1.0&2.1=3.0&0.2=2.0|1.1 3.1 0.1",
-    "self_join": "5 5|0.1=1.1&0.0<500|0.0 1.0",
-    "self_join_all": "5 5|0.1=1.1|0.0 1.0",
+    "self_join": "5 5|0.1=1.1|0.0 1.0",
     "join_multi_key": "6 5|0.0=1.0&0.1=1.1|0.0 1.1",
     "join_redundant": "6 5|0.0=1.0&1.0=0.0&0.0=1.0|0.1",
     "join_star": "6 5 4 3|0.0=1.0&0.1=2.0&0.2=3.0&2.1<10|1.1 2.1 3.1",
@@ -71,8 +69,7 @@ SQL = {
     "join_initial": _sum("o_orderkey c_nationkey", "orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey > 50 AND c_nationkey < 20"),
     "join_extend": _sum("l_orderkey c_custkey n_nationkey", f"{_LOC} JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2"),
     "join_bushy": _sum("o_custkey n_regionkey l_partkey", f"{_LO} JOIN (supplier JOIN nation ON s_nationkey = n_nationkey) ON l_suppkey = s_suppkey"),
-    "self_join": _sum("a.o_orderkey b.o_orderkey", "orders a JOIN orders b ON a.o_custkey = b.o_custkey WHERE a.o_orderkey < 500"),
-    "self_join_all": _sum("a.o_orderkey b.o_orderkey", "orders a JOIN orders b ON a.o_custkey = b.o_custkey"),
+    "self_join": _sum("a.o_orderkey b.o_orderkey", "orders a JOIN orders b ON a.o_custkey = b.o_custkey"),
     "join_multi_key": _sum("l_orderkey o_custkey", f"{_LO} AND l.l_partkey = o.o_custkey"),
     "join_redundant": _sum("l_partkey", _LO),
     "join_star": _sum("o_custkey p_size s_nationkey", f"{_LO} JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE p_size < 10"),
@@ -103,22 +100,21 @@ def _sums(text: str, preaggregate: bool = False):
     return run
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; without one, as in tests, in a temporary folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        import tempfile
-
-        shared = tempfile.mkdtemp(prefix="tallyloom-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _scan_tbl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark, "lineitem.tbl")
+    path = shared_path(spark, "lineitem.tbl")
     files.write_tbl(_catalog(spark, sf_dir)[6], path)
     return plan_query("0|0.0>10|0.0 0.1 0.2 0.3", Catalog([files.read_tbl(spark, path, 4)]))
 
 
+def _scan_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of lineitem through the binary format, with a column of values beyond 2^63 in a filter, a join and sums that wrap."""
+    rows = _catalog(spark, sf_dir)[6].withColumn("c4", F.bitwise_not("c0"))  # the pattern of 2^64-1-c0
+    path = shared_path(spark, "lineitem")
+    binary.write_folder(rows, path)
+    catalog = Catalog.from_files(spark, [path])
+    return plan_query("0 0|0.4=1.4&0.3=1.3&0.1=1.1&0.2=1.2&0.4>9223372036854775808|0.0 0.1 1.4", catalog).select(*(F.col(f"s{i}").cast("string").alias(f"s{i}") for i in range(3)))
+
+
 def _catalog_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalog = Catalog.from_files(spark, [f"{sf_dir}/{t}.parquet" for t in TABLES])
     rows = [catalog[i].agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(i).cast("bigint").alias("relation"), F.lit(catalog.width(i)).cast("bigint").alias("n_columns"), "n_rows") for i in range(len(catalog))]
@@ -130,7 +126,7 @@ def _catalog_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _full_scan_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _catalog(spark, sf_dir)[5]
-    return relational.filtered_scan(orders, [orders.c1 > 10, orders.c0 < 9000], ["c1", "c0"]).select(F.col("c1").alias("k"), F.col("c0").alias("rid"))
+    return relational.filtered_scan(orders, [orders.c1 > 10, orders.c0 > 20], ["c1", "c0"]).select(F.col("c1").alias("k"), F.col("c0").alias("rid"))
 
 
 def _sort_key_rowid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,19 +157,26 @@ def _catalog_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.catalog_stats(_catalog(spark, sf_dir))
 
 
-def _estimate_row(spark: SparkSession, s: ColumnStat) -> DataFrame:
-    return spark.createDataFrame([(float(s.low), float(s.high), round(s.rows, 3), round(s.distinct, 3))], "low double, high double, est_rows double, est_distinct double")
+def _estimates(spark: SparkSession, stats: dict[Ref, ColumnStat]) -> DataFrame:
+    rows = [(r.binding, r.column, float(s.low), float(s.high), round(float(s.rows), 3), round(float(s.distinct), 3)) for r, s in sorted(stats.items())]
+    return spark.createDataFrame(rows, "binding bigint, column bigint, low double, high double, est_rows double, est_distinct double")
+
+
+def _opened(spark: SparkSession, sf_dir: str, relations: list[int]) -> dict[Ref, ColumnStat]:
+    catalog = Catalog.from_tables(spark, sf_dir, [TABLES[r] for r in relations])
+    return {Ref(b, c): s for b in range(len(relations)) for c, s in enumerate(catalog.stats(b))}
 
 
 def _est_filter_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    catalog = _catalog(spark, sf_dir)
-    bound = {Ref(0, c): s for c, s in enumerate(catalog.stats(5))}
-    return _estimate_row(spark, estimate_equality(bound, Ref(0, 1), 7)[Ref(0, 1)])
+    return _estimates(spark, estimate_equality(_opened(spark, sf_dir, [5]), Ref(0, 1), 7))
 
 
 def _est_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    catalog = _catalog(spark, sf_dir)
-    return _estimate_row(spark, estimate_join(catalog.stats(6)[0], catalog.stats(5)[0]))
+    return _estimates(spark, estimate_join(_opened(spark, sf_dir, [6, 5]), Ref(0, 0), Ref(1, 0)))
+
+
+def _est_same_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _estimates(spark, estimate_join(_opened(spark, sf_dir, [6]), Ref(0, 2), Ref(0, 3)))
 
 
 def _parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,9 +199,9 @@ def queries() -> dict:
     out = {k: _sums(t) for k, t in TEXTS.items()}
     return out | {
         "scan_tbl": _scan_tbl, "catalog_load": _catalog_load, "full_scan_filter": _full_scan_filter, "sort_key_rowid": _sort_key_rowid,
-        "col_stats": _col_stats, "catalog_stats": _catalog_stats, "est_filter_eq": _est_filter_eq, "est_join": _est_join,
+        "col_stats": _col_stats, "catalog_stats": _catalog_stats, "est_filter_eq": _est_filter_eq, "est_join": _est_join, "est_same_relation": _est_same_relation, "scan_binary": _scan_binary,
         "sum_pushdown": _sums(TEXTS["join_star"], preaggregate=True),
-        "self_join_all": _sums(TEXTS["self_join_all"], preaggregate=True),  # no pairs of a hot customer's orders
+        "self_join": _sums(TEXTS["self_join"], preaggregate=True),  # no pairs of a hot customer's orders
         "parse_query": _parse, "render_sql": _render, "read_batch": _read_batch,
         "result_lines": _answers([TEXTS["flagship"], TEXTS["sum_multi"], TEXTS["sum_empty"], TEXTS["sum_zero_null"]]),
     }
@@ -211,6 +214,43 @@ _COLUMNS = {
 }
 
 
+# The estimates' formulas, written from the survey of what is to be computed: l, u, f, d are a column's least and largest value, rows and distinct values.
+_F = "SELECT MIN({c}) AS l, MAX({c}) AS u, CAST(COUNT(*) AS DOUBLE) AS f, CAST(COUNT(DISTINCT {c}) AS DOUBLE) AS d FROM {t}"
+_EST_ROW = "SELECT CAST({b} AS BIGINT) AS binding, CAST({i} AS BIGINT) AS \"column\", CAST({l} AS DOUBLE) AS low, CAST({u} AS DOUBLE) AS high, ROUND({f}, 3) AS est_rows, ROUND({d}, 3) AS est_distinct"
+_EST_FILTER = (
+    _EST_ROW.format(b=0, i=0, l="l", u="u", f="f", d="d * (1 - POW(1 - 1 / f, f / d))") + f" FROM ({_F.format(c='o_orderkey', t='orders')}) x UNION ALL "
+    + _EST_ROW.format(b=0, i=1, l=7, u=7, f="CAST(1 AS DOUBLE)", d="CAST(0 AS DOUBLE)")
+)
+
+
+def _est_join_sql() -> str:
+    """lineitem and orders on the order key: the common column's n values, rows and distinct values; the other columns keep the share d'/d of the join column."""
+    head = f"WITH a AS ({_F.format(c='l_orderkey', t='lineitem')}), b AS ({_F.format(c='o_orderkey', t='orders')}), n AS (SELECT GREATEST(a.l, b.l) AS l, LEAST(a.u, b.u) AS u, a.d AS da, b.d AS db, a.f AS fa, b.f AS fb FROM a, b), j AS (SELECT l, u, fa * fb / (u - l + 1) AS f, da * db / (u - l + 1) AS d, da, db FROM n) "
+    parts = []
+    for binding, (table, columns, own) in enumerate((("lineitem", "l_orderkey l_partkey l_suppkey l_linenumber", "da"), ("orders", "o_orderkey o_custkey", "db"))):
+        parts.append(_EST_ROW.format(b=binding, i=0, l="l", u="u", f="f", d="d") + " FROM j")
+        for i, c in list(enumerate(columns.split()))[1:]:
+            parts.append(_EST_ROW.format(b=binding, i=i, l="x.l", u="x.u", f="j.f", d=f"x.d * (1 - POW(1 - LEAST(1, j.d / j.{own}), x.f / x.d))") + f" FROM j, ({_F.format(c=c, t=table)}) x")
+    return head + " UNION ALL ".join(parts)
+
+
+def _est_same_sql() -> str:
+    """Two columns of lineitem made equal: f/n rows; distinct values and the other columns shrink by the share f'/f."""
+    head = f"WITH a AS ({_F.format(c='l_suppkey', t='lineitem')}), b AS ({_F.format(c='l_linenumber', t='lineitem')}), j AS (SELECT GREATEST(a.l, b.l) AS l, LEAST(a.u, b.u) AS u, a.f / (LEAST(a.u, b.u) - GREATEST(a.l, b.l) + 1) AS f, a.f AS fa, a.d AS da FROM a, b) "
+    joined = "da * (1 - POW(1 - f / fa, fa / da))"
+    parts = [_EST_ROW.format(b=0, i=i, l="l", u="u", f="f", d=joined) + " FROM j" for i in (2, 3)]
+    parts += [_EST_ROW.format(b=0, i=i, l="x.l", u="x.u", f="j.f", d="x.d * (1 - POW(1 - j.f / j.fa, x.f / x.d))") + f" FROM j, ({_F.format(c=c, t='lineitem')}) x" for i, c in enumerate(("l_orderkey", "l_partkey"))]
+    return head + " UNION ALL ".join(parts)
+
+
+_EST_JOIN, _EST_SAME = _est_join_sql(), _est_same_sql()
+_WRAP = "CAST(NULLIF(SUM(CAST({v} AS HUGEINT)) % 18446744073709551616, 0) AS VARCHAR)"
+_SCAN_BINARY = (
+    f"SELECT {_WRAP.format(v='a.l_orderkey')} AS s0, {_WRAP.format(v='a.l_partkey')} AS s1, {_WRAP.format(v='18446744073709551615 - b.l_orderkey')} AS s2 "
+    "FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber AND a.l_partkey = b.l_partkey AND a.l_suppkey = b.l_suppkey"
+)
+
+
 def _stats_sql(table: str, relation: str = "") -> str:
     return " UNION ALL ".join(
         f"SELECT {relation}CAST({i} AS BIGINT) AS \"column\", CAST(MIN({c}) AS BIGINT) AS low, CAST(MAX({c}) AS BIGINT) AS high, CAST(COUNT(*) AS BIGINT) AS n_rows, CAST(COUNT(DISTINCT {c}) AS BIGINT) AS n_distinct FROM {table}" for i, c in enumerate(_COLUMNS[table].split())
@@ -229,12 +269,14 @@ def oracle_sql() -> dict[str, str]:
     return SQL | {
         "scan_tbl": _sum("l_orderkey l_partkey l_suppkey l_linenumber", "lineitem WHERE l_orderkey > 10"),
         "catalog_load": " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS relation, CAST({len(_COLUMNS[t].split())} AS BIGINT) AS n_columns, CAST(COUNT(*) AS BIGINT) AS n_rows FROM {t}" for i, t in enumerate(TABLES)),
-        "full_scan_filter": "SELECT o_custkey AS k, o_orderkey AS rid FROM orders WHERE o_custkey > 10 AND o_orderkey < 9000",
+        "full_scan_filter": "SELECT o_custkey AS k, o_orderkey AS rid FROM orders WHERE o_custkey > 10 AND o_orderkey > 20",
         "sort_key_rowid": "SELECT o_custkey AS k, o_orderkey AS rid FROM orders ORDER BY k, rid",
         "col_stats": _stats_sql("lineitem"),
         "catalog_stats": " UNION ALL ".join(_stats_sql(t, f"CAST({i} AS BIGINT) AS relation, ") for i, t in enumerate(TABLES)),
-        "est_filter_eq": "SELECT CAST(7 AS DOUBLE) AS low, CAST(7 AS DOUBLE) AS high, ROUND(CAST(COUNT(*) AS DOUBLE) / COUNT(DISTINCT o_custkey), 3) AS est_rows, CAST(1 AS DOUBLE) AS est_distinct FROM orders",
-        "est_join": "SELECT CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high, ROUND(CAST(fa AS DOUBLE) * fb / (high - low + 1), 3) AS est_rows, ROUND(CAST(da AS DOUBLE) * db / (high - low + 1), 3) AS est_distinct FROM (SELECT GREATEST(la, lb) AS low, LEAST(ua, ub) AS high, * FROM (SELECT MIN(l_orderkey) AS la, MAX(l_orderkey) AS ua, COUNT(*) AS fa, COUNT(DISTINCT l_orderkey) AS da FROM lineitem) a, (SELECT MIN(o_orderkey) AS lb, MAX(o_orderkey) AS ub, COUNT(*) AS fb, COUNT(DISTINCT o_orderkey) AS db FROM orders) b) x",
+        "est_filter_eq": _EST_FILTER,
+        "est_join": _EST_JOIN,
+        "est_same_relation": _EST_SAME,
+        "scan_binary": _SCAN_BINARY,
         "parse_query": _sum("l_partkey l_suppkey", f"{_LO} WHERE o_custkey < 50"),
         "sum_pushdown": SQL["join_star"],
         "render_sql": SQL["flagship"],

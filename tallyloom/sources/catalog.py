@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import u64
 from ..plans.estimates import ColumnStat
 from ..plans.query import Query, Ref
 from . import binary, files
@@ -29,9 +30,12 @@ class Catalog:
         return len(self.relations[relation].columns)
 
     @classmethod
-    def from_files(cls, spark: SparkSession, paths: Sequence[str], widths: Sequence[int] | None = None, domain: str = "bigint") -> Catalog:
-        """Files in order: ``.tbl`` text, ``.parquet``, else binary. A missing file is an error."""
-        out = []
+    def from_files(cls, spark: SparkSession, paths: Sequence[str], widths: Sequence[int] | None = None, domain: str | None = None) -> Catalog:
+        """Files in order: ``.tbl`` text, ``.parquet``, else binary. A missing file is an error.
+
+        Binary files hold unsigned values, so with any of them the domain is "u64" unless ``domain`` says otherwise.
+        """
+        out, unsigned = [], False
         for i, path in enumerate(paths):
             if not files.exists(spark, path):
                 raise FileNotFoundError(path)
@@ -41,7 +45,8 @@ class Catalog:
                 out.append(integral(spark.read.parquet(path)))
             else:
                 out.append(binary.read(spark, path))
-        return cls(out, domain)
+                unsigned = True
+        return cls(out, domain or ("u64" if unsigned else "bigint"))
 
     @classmethod
     def from_tables(cls, spark: SparkSession, directory: str, tables: Sequence[str]) -> Catalog:
@@ -54,16 +59,32 @@ class Catalog:
             df.createOrReplaceTempView(f"r{i}")
 
     def stats(self, relation: int) -> list[ColumnStat]:
-        """Exact statistics of each column, from one pass; kept."""
+        """Exact statistics of each column, from one scan; kept."""
         if relation not in self._stats:
+            from ..operators.stats import column_stats
+
             df = self.relations[relation]
-            row = df.agg(F.count(F.lit(1)).alias("n"), *(f(df[c]).alias(f"{k}_{c}") for c in df.columns for k, f in (("l", F.min), ("u", F.max), ("d", F.count_distinct)))).first()
-            self._stats[relation] = [ColumnStat(row[f"l_{c}"] or 0, row[f"u_{c}"] or 0, row["n"], row[f"d_{c}"]) for c in df.columns]
+            if self.domain == "u64":
+                df = df.select(*(u64.unsigned(df[c]).alias(c) for c in df.columns))
+            found = {r["column"]: r for r in column_stats(df).collect()}  # a row a column
+            none = {"low": 0, "high": 0, "n_rows": 0, "n_distinct": 0}
+            rows = [found.get(i) or none for i in range(len(df.columns))]
+            self._stats[relation] = [ColumnStat(float(r["low"] or 0), float(r["high"] or 0), r["n_rows"], r["n_distinct"]) for r in rows]
         return self._stats[relation]
 
+    def knows(self, relations: Iterable[int]) -> bool:
+        """Whether the statistics of these relations have been taken."""
+        return all(r in self._stats for r in relations)
+
     def bound_stats(self, query: Query) -> dict[Ref, ColumnStat]:
+        """The statistics of a query's columns, by binding."""
         return {Ref(b, c): s for b, rel in enumerate(query.relations) for c, s in enumerate(self.stats(rel))}
 
+    def dump(self, first: int = 0, last: int | None = None, delimiter: str = " ") -> Iterator[str]:
+        """Text dumps of the relations ``first`` to ``last`` (included), one after another; for debugging."""
+        for df in self.relations[first : None if last is None else last + 1]:
+            yield from files.dump_lines(df, delimiter)
+
 
 def integral(df: DataFrame) -> DataFrame:
     """Integral columns as BIGINT, named c0, c1, ... in schema order."""

@@ -67,8 +67,13 @@ def run_batch(catalog: Catalog, batch: list[str], in_flight: int = IN_FLIGHT) ->
 
 
 def run_script(spark: SparkSession, lines: Iterable[str], load: Callable[[SparkSession, list[str]], Catalog] = Catalog.from_files) -> Iterator[str]:
-    """Answers to a whole script, a line at a time."""
+    """Answers to a whole script, a line at a time. The time of all batches, without loading, goes to the log."""
     it = iter(lines)
     catalog = load(spark, read_filenames(it))
+    spent = 0.0
     for batch in read_batches(it):
-        yield from run_batch(catalog, batch)
+        began = time.monotonic()
+        answers = run_batch(catalog, batch)
+        spent += time.monotonic() - began
+        yield from answers
+    log.info("%.0f ms Main execution", 1000 * spent)

@@ -1,6 +1,7 @@
 import itertools
 import os
 import random
+import re
 
 import pytest
 
@@ -42,6 +43,40 @@ def test_golden(spark):
     assert done == 18
 
 
+def random_query(rng, widths):
+    """A connected query of one to four bindings over relations of these widths."""
+    rels = [rng.randrange(len(widths)) for _ in range(rng.randint(1, 4))]
+    ref = lambda b: f"{b}.{rng.randrange(widths[rels[b]])}"
+    preds = [f"{ref(rng.randrange(b))}={ref(b)}" for b in range(1, len(rels))]
+    preds += [f"{ref(a)}={ref(b)}" for a, b in [(rng.randrange(len(rels)), rng.randrange(len(rels)))] if rng.random() < 0.3]
+    preds += [f"{ref(rng.randrange(len(rels)))}{rng.choice('<>=')}{rng.randrange(60)}" for _ in range(rng.randint(len(preds) == 0, 2))]
+    rng.shuffle(preds)
+    return f"{' '.join(map(str, rels))}|{'&'.join(preds)}|{' '.join(ref(rng.randrange(len(rels))) for _ in range(rng.randint(1, 3)))}"
+
+
+def test_workload_against_duckdb(spark):
+    """Queries over fourteen generated relations; the answers are another engine's, from SQL written here."""
+    import duckdb
+    import pandas as pd
+
+    rng = random.Random(20)
+    widths = [rng.randint(2, 5) for _ in range(14)]
+    con, relations = duckdb.connect(), []
+    for i, width in enumerate(widths):
+        rows = [[k, *(rng.randrange(40) if c % 2 else rng.randrange(300) for c in range(1, width))] for k in range(rng.randint(20, 90))]
+        relations.append(table(spark, rows, width).coalesce(1).cache())
+        con.register(f"r{i}", pd.DataFrame(rows, columns=[f"c{c}" for c in range(width)]))
+    catalog = Catalog(relations)
+    for n in range(14):
+        text = random_query(rng, widths)
+        rels, preds, sums = text.split("|")
+        sql = lambda x: x if "." not in x else "b{}.c{}".format(*x.split("."))
+        where = " AND ".join(re.sub(r"[0-9.]+", lambda m: sql(m[0]), p) for p in preds.split("&"))
+        want = con.execute(f"SELECT {', '.join(f'SUM({sql(x)})' for x in sums.split())} FROM {', '.join(f'r{r} b{b}' for b, r in enumerate(rels.split()))} WHERE {where}").fetchone()
+        got = plan_query(parse_query(text), catalog, reorder=n % 5 == 0, preaggregate=n % 2 == 1).first()
+        assert format_line(got) == format_line(want), text
+
+
 SHAPES = ["0 1|0.0=1.0|0.1 1.1", "0 1 2|0.0=1.0&1.1=2.0|0.1 2.1 0.1", "0 1 2|0.0=1.0&1.0=2.0&2.0=0.0&0.1<4|2.1", "0 0|0.0=1.0|0.1", "0|0.0=0.1|0.0", "0 1 2 0|0.0=1.0&2.1=3.1&1.1=2.0|3.1 0.0", "0 1|0.0=1.0&0.1=1.1|0.0", "1 1|0.0=1.1&1.0=0.1&0.0>1|1.0", "3 0|0.0=1.0|0.1 1.1"]
 
 
@@ -101,6 +136,30 @@ def test_binary_round_trip(spark, tmp_path):
     assert binary.read(spark, str(tmp_path / "r1")).count() == 0
 
 
+def test_binary_folder(spark, tmp_path):
+    df = table(spark, [(i, 2**64 - 1 - i) for i in range(25)], 2).repartition(3)
+    path = (tmp_path / "r").as_uri()
+    assert binary.write_folder(df, path, rows_per_file=4) == 25 == binary.write_folder(df, path, rows_per_file=4)
+    (tmp_path / "r" / "_aside").write_bytes(b"broken")
+    assert sorted(map(tuple, binary.read(spark, path, rows_per_partition=3).collect())) == sorted(map(tuple, df.collect()))
+    assert binary.write_folder(df.limit(0), (tmp_path / "e").as_uri()) == 0
+    assert binary.read(spark, (tmp_path / "e").as_uri()).count() == 0 and len(binary.read(spark, (tmp_path / "e").as_uri()).columns) == 2
+    binary.write(str(tmp_path / "r" / "wide"), [[1], [2], [3]])
+    with pytest.raises(Exception, match="differ in their columns"):
+        binary.read(spark, path)
+
+
+def test_text_is_strict(spark, tmp_path):
+    path = tmp_path / "t.tbl"
+    path.write_text("1|2|\n3||\n")
+    assert sorted(map(tuple, files.read_tbl(spark, str(path)).collect()), key=str) == [(1, 2), (3, None)]
+    for i, line in enumerate(("x|3|", "3|4|5|", "3|4|5", "3|", "3|4.5|", "3|99999999999999999999|")):
+        bad = tmp_path / f"bad{i}.tbl"
+        bad.write_text(f"1|2|\n{line}\n")
+        with pytest.raises(Exception, match="(?i)malformed|goes on"):
+            files.read_tbl(spark, str(bad), 2).select("c0").collect()
+
+
 def test_text_round_trip_and_dump(spark, tmp_path):
     df = table(spark, [(1, 2), (3, 4)], 2).coalesce(1)
     files.write_tbl(df, str(tmp_path / "t.tbl"))
@@ -108,13 +167,81 @@ def test_text_round_trip_and_dump(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == [(1, 2), (3, 4)]
     assert files.dump_lines(df) == ["2 2", "1 2", "3 4"]
     files.write_dump(df, str(tmp_path / "d"))
+    assert files.dump_pairs(df, "c1", "c0") == ["2 1", "4 3"]
+    catalog = Catalog([df, df.limit(0), df])
+    assert list(catalog.dump(0, 1)) == ["2 2", "1 2", "3 4", "2 0"] and len(list(catalog.dump(1))) == 4
 
 
-def test_script(spark, tmp_path):
+def test_script(spark, tmp_path, caplog):
     for i, rows in enumerate([[(1, 5), (2, 0)], [(1, 7), (1, 8)]]):
         binary.write(str(tmp_path / f"r{i}"), [list(c) for c in zip(*rows, strict=True)])
     lines = ["", f"{tmp_path}/r0", f"{tmp_path}/r1", "done", "0 1|0.0=1.0|0.1 1.1", "", "0 1|0.0=1.0&0.0=2|0.1", "F", "0 0|0.0=1.0|0.0"]
     assert list(run_script(spark, lines)) == ["10 15", "NULL", "3"]
+    binary.write(str(tmp_path / "u"), [[1, 2, 3], [2**64 - 1, 2**63, 5]])
+    script = [f"{tmp_path}/u", "Done", "0|0.1>5|0.0", "0|0.1>9223372036854775808|0.0 0.1", "0 0|0.1=1.1&0.0<3|0.1", "0|0.0<3|0.1 0.0", "F"]
+    with caplog.at_level("INFO"):
+        assert list(run_script(spark, script)) == ["3", "1 18446744073709551615", "9223372036854775807", "9223372036854775807 3"]
+    assert any("Main execution" in r.getMessage() for r in caplog.records)
     assert list(read_batches(iter(["a", "F", "F", "b"]))) == [["a"], [], ["b"]]
     it = iter(["x", "DONE", "y"])
     assert read_filenames(it) == ["x"] and next(it) == "y"
+
+
+def test_sums_of_many_large_values(spark):
+    """The parts of sums stay apart from each other's overflow: as many rows as a relation of a few thousand stands for."""
+    catalog = Catalog([table(spark, [(1, 2**64 - 1 - i) for i in range(3000)], 2)], "u64")
+    want = sum(2**64 - 1 - i for i in range(3000)) * 3000 % 2**64
+    assert int(plan_query("0 0|0.0=1.0|0.1", catalog).first()[0]) == want
+
+
+def test_estimates(spark):
+    from tallyloom.plans.estimates import ColumnStat, estimate_equality, estimate_join, estimate_self
+    from tallyloom.plans.query import Ref
+
+    catalog = Catalog([table(spark, [(i, i % 10) for i in range(100)], 2), table(spark, [(i, i % 4) for i in range(20)], 2)])
+    assert catalog.stats(0) == [ColumnStat(0, 99, 100, 100), ColumnStat(0, 9, 100, 10)]
+    stats = catalog.bound_stats(parse_query("0 1|0.0=1.0|0.0"))
+    after = estimate_equality(stats, Ref(0, 1), 3)
+    assert after[Ref(0, 1)] == ColumnStat(3, 3, 1, 0) and after[Ref(0, 0)].rows == 100 and after[Ref(0, 0)].distinct == pytest.approx(1)
+    joined = estimate_join(stats, Ref(0, 0), Ref(1, 0))
+    assert joined[Ref(0, 0)] == joined[Ref(1, 0)] == ColumnStat(0, 19, 100, 100)
+    assert joined[Ref(1, 1)].rows == 100 and joined[Ref(1, 1)].distinct == 4  # a share beyond 1 counts as 1
+    assert estimate_self(stats, Ref(1, 1))[Ref(1, 0)].rows == 100
+    assert Catalog([table(spark, [(2**64 - 1,)], 1)], "u64").stats(0)[0].high == float(2**64 - 1)
+
+
+def test_preaggregated_by_statistics(spark):
+    from tallyloom.plans.planner import fans_out
+
+    catalog = Catalog([table(spark, [(1, i) for i in range(50)], 2), table(spark, [(i, i) for i in range(5)], 2)])
+    query, plain = parse_query("0 0|0.0=1.0|0.1 1.1"), parse_query("0 1|0.1=1.0|0.1")
+    assert not fans_out(query, catalog)
+    before = plan_query(query, catalog).first()
+    catalog.stats(0), catalog.stats(1)
+    assert fans_out(query, catalog) and not fans_out(plain, catalog)
+    assert plan_query(query, catalog).first() == before
+
+
+def test_shared_folder(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from tallyloom import storage
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    with pytest.raises(storage.NoSharedFolder):
+        storage.shared_dir(SimpleNamespace(conf=Conf(), sparkContext=SimpleNamespace(master="spark://host:7077")))
+    assert storage.shared_dir(SimpleNamespace(conf=Conf(), sparkContext=SimpleNamespace(master="local[2]"))).startswith("file:/")
+    shared = storage.shared_dir(spark)
+    assert shared == spark.conf.get("spark.checkpoint.dir")
+    df = table(spark, [(1, 2)], 2)
+    with storage.scratch():
+        with storage.scratch():
+            kept = storage.materialize(df, "inner")
+        outer = storage.materialize(df, "outer")
+        assert outer.count() == 1
+        with pytest.raises(Exception, match="(?i)not.*exist|path"):
+            kept.count()
+    assert not [x for x in os.listdir(shared[len("file://"):]) if x.startswith(("inner", "outer"))]

@@ -1,47 +1,25 @@
-"""What the operators share: shared storage, bounded Arrow batches, words of texts, runs of sorted rows."""
+"""What the operators share: bounded Arrow batches, words of texts, runs of sorted rows.
+
+Arrow batches that Spark sends are bounded in bytes by its own default (64 MB);
+``slices`` cuts them further. No setting of the session is changed.
+"""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Bytes of text that a Python worker handles at once, and rows in one Arrow batch.
-SLICE_BYTES = 4 << 20
-BATCH_ROWS = 1000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset, as in tests, a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
+from ..storage import materialize, scratch, shared_path
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["Words", "binary_matrix", "map_texts", "materialize", "mix", "raw", "scratch", "shared_path", "shingle_hashes", "slices", "whole_groups", "without"]
 
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """The rows written to a table in the shared folder and read back: lineage is cut and lost executors cost no recomputation."""
-    spark = df.sparkSession
-    df.write.option("compression", "zstd").parquet(path := shared_path(spark, name))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Texts are long: Arrow batches get at most BATCH_ROWS rows, unless the session asks for fewer."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+#: Bytes of text that a Python worker handles at once.
+SLICE_BYTES = 4 << 20
 
 
 def without(df: DataFrame, names) -> DataFrame:
@@ -67,8 +45,6 @@ def map_texts(df: DataFrame, column: str, fields: list[T.StructField], make: Cal
     ``make`` runs once a task and returns that function, so a model or automaton
     is built there. With ``keep`` off, only the new columns stay.
     """
-    spark = df.sparkSession
-    bounded_batches(spark)
     names = [f.name for f in fields]
     df = without(df, names)
     schema = T.StructType((list(df.schema.fields) if keep else []) + fields)

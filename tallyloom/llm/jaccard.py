@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, binary_matrix, bounded_batches, map_texts, materialize, mix, raw, shingle_hashes, whole_groups
+from .common import Words, binary_matrix, map_texts, materialize, mix, raw, shingle_hashes, whole_groups
 from .components import connected
 
 WIDTH = 5
@@ -203,8 +203,6 @@ def _verify(threshold: float, rule: list[tuple[int, int]]):
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, bucket_rows: int = BUCKET_ROWS, cluster_shingles: int = CLUSTER_SHINGLES) -> DataFrame:
     """doc_id, class_id (least doc_id of its component) and n_links (documents with similarity >= threshold), a row for each row of ``docs``."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
     rule = least_matches(threshold)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     made = materialize(map_texts(texts, "text", _SIGNATURE, lambda: _signatures(width)).drop("text"), "signatures")

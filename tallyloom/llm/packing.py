@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, materialize, slices, without
+from .common import materialize, slices, without
 
 CAPACITY = 1024
 END_TOKEN = 2
@@ -116,8 +116,6 @@ def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def tokenize_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, ids: bool = True) -> DataFrame:
     """One row a piece: the columns of ``docs`` but text, then piece, start, length, ids_crc32 and, if asked for, ids."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
     made = [*PIECES, T.StructField("ids_crc32", T.LongType())] + ([T.StructField("ids", T.ArrayType(T.IntegerType()))] if ids else [])
     names = [f.name for f in made]
     docs = without(docs, names)

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, shared_path, slices
+from .common import materialize, shared_path, slices
 
 REVISIT_BYTES = 1000
 #: Uncompressed bytes and records after which a new archive begins.
@@ -96,7 +96,6 @@ _META = "archive string, n int, page_id bigint, payload_bytes bigint, payload_di
 
 def write_archives(pages: DataFrame, root: str, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Archives of one gzip stream each, and a written table of their records: archive, n, page_id, payload_bytes, payload_digest."""
-    bounded_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         partition, number = TaskContext.get().partitionId(), 0

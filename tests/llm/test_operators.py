@@ -257,36 +257,68 @@ def test_line_dedup_other_order(spark):
         (4, f"{r}\n{own[3]}\n{gap}"), (5, f"{gap}\n{own[5]}\n{r}"),  # halves of a passage, too short; then the same text in the other order
         (6, "\n".join([*p.split("\n")[2:], own[6], *p.split("\n")[:2]])),  # pieces of a passage, too short
         (7, f"{own[7]}\n" + "\n".join(p.split("\n")[::-1])),  # its lines the other way round
-        (8, f"{s}\n{t}"), (9, f"{t}\n{u}"),  # a moved block, in the earlier document with a line inside
+        (8, f"{s}\n{t}"), (9, f"{t}\n{u}"),  # a moved block, and one that no earlier document has without a line inside
     ]
     got = {x.doc_id: x.text for x in lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got[1] == rows[0][1] and got[2] == own[0] and got[3] == f"{own[1]}\n{own[2]}"
     assert got[4] == rows[3][1] and got[5] == own[5]
-    assert got[8] == rows[7][1] and got[9] == ""
+    assert got[8] == rows[7][1] and got[9] == u
     assert got[6] == rows[5][1] and got[7] == rows[6][1]
 
 
-def test_line_dedup_leaves_no_block(spark):
-    rng = random.Random(8)
-    passages = [[prose(500 + 20 * k + i, rng.choice((3, 9, 14, 30))) for i in range(rng.randint(2, 6))] for k in range(8)]
+def test_line_dedup_blocks_of_one_document(spark):
+    x, y, z = (prose(700 + i, 12) for i in range(3))
+    block = [prose(710 + i, 10) for i in range(6)]
+    scattered = "\n".join(w for i, line in enumerate(block) for w in (line, prose(730 + i, 15)))
+    rows = [
+        (1, f"{x}\n{prose(720, 30)}"), (2, f"{y}\n{prose(721, 30)}"), (3, f"{z}\n{prose(722, 30)}"), (9, f"{x}\n{y}\n{z}"),  # three lines of three documents
+        (11, scattered), (12, "\n".join([prose(740, 20), *block])), (13, "\n".join([*block, prose(741, 20)])),  # the block whole only in the second
+        (20, f"{prose(750, 30)}\nown line one"), (20, f"{prose(751, 30)}\nown line two"), (19, prose(751, 30)),  # texts of one id
+        (30, prose(760, 40)), (30, prose(760, 40)), (31, prose(760, 40)),  # a repeated row
+    ]
+    got = Counter((r.doc_id, r.text, r.n_removed) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    want = Counter((i, t, 0) for i, t in rows if i not in (13, 31) and not t.endswith("two"))
+    want.update([(13, prose(741, 20), 6), (20, "own line two", 1), (31, "", 1)])
+    assert got == want
+
+
+def removed_by_all_pairs(docs, least=lines.BLOCK_WORDS):
+    """Lines that stay of each document, given (order, lines): every run of lines of every earlier document is compared."""
+    out = {}
+    for key, own in docs.items():
+        gone = set()
+        for other, there in docs.items():
+            if other >= key:
+                continue
+            runs = {tuple(there[a:b]) for a in range(len(there)) for b in range(a + 1, len(there) + 1) if sum(len(x.split()) for x in there[a:b]) >= least}
+            gone |= {i for a in range(len(own)) for b in range(a + 1, len(own) + 1) if tuple(own[a:b]) in runs for i in range(a, b)}
+        out[key] = [x for i, x in enumerate(own) if i not in gone]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_line_dedup_brute(spark, seed):
+    rng = random.Random(seed)
+    pool = [prose(3000 + 100 * seed + i, rng.choice((1, 2, 4, 9, 14, 27))) for i in range(12 if seed % 2 else 60)]
+    passages = [[rng.choice(pool) for _ in range(rng.randint(2, 8))] for _ in range(9)]
     rows = []
     for d in range(60):
-        parts = [[prose(9000 + 10 * d, 12)], *rng.sample(passages, rng.randint(0, 4)), [prose(9001 + 10 * d, 12)]]
-        rows.append((d, "\n".join(x for part in parts for x in part)))
-    got = {x.doc_id: x.text.split("\n") for x in lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    texts = {d: t.split("\n") for d, t in rows}
-    runs = lambda own: {tuple(own[a:b]) for a in range(len(own)) for b in range(a + 1, len(own) + 1) if sum(len(x.split()) for x in own[a:b]) >= lines.BLOCK_WORDS}
-    seen = set()
-    for d, own in texts.items():
-        assert not runs(got[d]) & seen and got[d][0] == own[0] and got[d][-1] == own[-1]
-        seen |= runs(own)
+        parts = [rng.choice(passages) for _ in range(rng.randint(0, 3))] + [[rng.choice(pool)] for _ in range(rng.randint(0, 5))] + [[prose(9000 + 100 * seed + d, 12)]]
+        rng.shuffle(parts)
+        rows.append((rng.randrange(50), "\n".join(x for part in parts for x in part)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    keys = {(r.doc_id, r.text): (r.doc_id, r.fp) for r in df.withColumn("fp", F.xxhash64("text")).collect()}
+    want = removed_by_all_pairs({keys[d, t]: t.split("\n") for d, t in rows})
+    want = Counter((d, "\n".join(want[keys[d, t]])) for d, t in rows)
+    for sizes in ({}, {"rare": 1, "chain_rows": 2}):
+        assert Counter((r.doc_id, r.text) for r in lines.dedup_lines(df, **sizes).collect()) == want
 
 
 def test_windows_cover_runs():
     rng = random.Random(2)
     for _ in range(200):
         counts = [rng.randint(1, 30) for _ in range(rng.randint(0, 14))]
-        found = lines.windows(counts, 25) + [(i, i + 1) for i, n in enumerate(counts) if n >= 25]
+        found = lines.windows(counts, 25)
         assert all(sum(counts[a:b]) >= 25 for a, b in found)
         for a in range(len(counts)):
             for b in range(a + 1, len(counts) + 1):
@@ -294,6 +326,17 @@ def test_windows_cover_runs():
                     assert {x for c, d in found if a <= c and d <= b for x in range(c, d)} == set(range(a, b))
 
 
+def test_common_blocks_of_pairs():
+    """Any two sequences, with repeated lines: the runs that both have, and no other line."""
+    rng = random.Random(4)
+    for _ in range(400):
+        words = {h: rng.choice((1, 2, 3, 6)) for h in range(8)}
+        own, there = ([rng.randrange(8 if rng.random() < 0.8 else 3) for _ in range(rng.randint(0, 14))] for _ in range(2))
+        runs = {tuple(there[a:b]) for a in range(len(there)) for b in range(a + 1, len(there) + 1) if sum(words[h] for h in there[a:b]) >= 6}
+        want = {i for a in range(len(own)) for b in range(a + 1, len(own) + 1) if tuple(own[a:b]) in runs for i in range(a, b)}
+        assert {i for a, b in lines.common_blocks(own, [words[h] for h in own], there, 6) for i in range(a, b)} == want
+
+
 # Packing
 
 

@@ -507,13 +507,109 @@ def test_extract_layouts():
     assert page(f"<table><tr><td><a href=a>menu</a><td><h2>A</h2><p>{long}<p>{long}</table>") == ["A", said, said]
 
 
-def test_extract_article_of_pages(spark):
+def article_of(page):
+    """The text of a given page's article, by regular expressions."""
     import html
 
-    for page_id, page in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html").collect():
-        parts = re.split(r"</?(?:p|h1)>", re.search(r"<article>(.*?)</article>", page, re.DOTALL)[1])
-        want = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", p.replace("<br>", " "))).split()) for p in parts]
-        assert extract.text_of(page) == "\n".join(filter(None, want)), page_id
+    parts = re.split(r"</?(?:p|h1)>", re.search(r"<article>(.*?)</article>", page, re.DOTALL)[1])
+    return "\n".join(filter(None, (" ".join(html.unescape(re.sub(r"<[^>]+>", "", p.replace("<br>", " "))).split()) for p in parts)))
+
+
+def given_pages():
+    import duckdb
+
+    return [h for (h,) in duckdb.connect().execute("SELECT html FROM '/root/testdata/sf0.01/pages.parquet' ORDER BY page_id").fetchall()]
+
+
+def test_extract_article_of_pages():
+    for page in given_pages():
+        assert extract.text_of(page) == article_of(page)
+        assert extract.text_of(page.replace("<article>", "<div>").replace("</article>", "</div>")) == article_of(page)
+
+
+def test_extract_by_density_alone(monkeypatch):
+    """Pages without any telling element, class or id: the densities find the text, and nothing else does."""
+    pages = [(re.sub("(</?)(?:nav|article|footer)>", r"\1div>", p.replace(' class="ad"', "")), article_of(p)) for p in given_pages()]
+    found = [extract.text_of(p) for p, _ in pages]
+    assert all(want in text for text, (_, want) in zip(found, pages, strict=True))  # the rest is a short box as dense as the text
+    assert np.mean([text == want for text, (_, want) in zip(found, pages, strict=True)]) > 0.75
+    measure = extract.measure
+
+    def shuffled(nodes, body):
+        measure(nodes, body)
+        rng = random.Random(len(nodes))
+        for n in nodes:
+            n.density, n.total = 300 * rng.random(), 1000 * rng.random()
+
+    monkeypatch.setattr(extract, "measure", shuffled)
+    assert np.mean([extract.text_of(p) == want for p, want in pages]) < 0.1
+
+
+def test_extract_keeps_what_only_sounds_like_furniture():
+    long = "Words of a paragraph that goes on for long enough to be dense, and then some more of them. " * 3
+    said = long.strip()
+    for extra, text in (
+        ('<p class="warning">Mind the gap.</p>', "Mind the gap."), ('<div class="legal-analysis">Of the law.</div>', "Of the law."), ('<table class="search-results"><tr><td>A cell.</td></tr></table>', "A cell."),
+        ('<p id="form-factor">Its form.</p>', "Its form."), ("<p><math><mi>x</mi></math></p>", "x"), ("<header><h1>A title</h1></header>", "A title"), ('<section id="related-work"><p>Of others.</p></section>', "Of others."),
+        ('<h2 id="discussion">Discussion</h2>', "Discussion"), ('<div class="headerless shared-memory">Kept.</div>', "Kept."),
+    ):
+        for box in ("article", "div"):
+            if (box, text) != ("div", "A title"):
+                assert extract.text_of(f"<body><{box}><p>{long}</p>{extra}<p>{long}</p></{box}></body>") == f"{said}\n{text}\n{said}", extra
+    for extra in ('<div class="ad">Buy.</div>', '<div class="cookie-notice">Cookies.</div>', '<section id="comments-area"><p>Reader says.</p></section>', '<div class="page-header">Site</div>', '<footer>End</footer>', '<div class="ad_300x250">Buy.</div>', '<ul class="site-nav"><li>Home</li></ul>', '<div class="related-posts">More</div>', '<form><p>Name</p></form>', "<article class='comment'><p>Reader.</p></article>", '<div role="navigation">N</div>', "<p hidden>H</p>"):
+        assert extract.text_of(f"<body><article><p>{long}</p>{extra}<p>{long}</p></article></body>") == f"{said}\n{said}", extra
+
+
+def test_extract_bare_text():
+    long = "Words of a paragraph that goes on for long enough to be dense, and then some more of them. " * 3
+    page = f"<body><div>Bare <b>and bold</b> text,<br><br>parted by breaks. {long}<div><p>{long}</p><p>{long}</p></div>And a last word.</div><div><a href=x>one</a> <a href=y>two</a></div></body>"
+    said = long.strip()
+    assert extract.text_of(page) == f"Bare and bold text, parted by breaks. {said}\n{said}\n{said}\nAnd a last word."
+
+
+def test_densities_brute():
+    """Counts, densities and sums of small random trees, by the definitions and recursion."""
+    import math
+
+    rng = random.Random(3)
+
+    def grow(depth):
+        tag = rng.choice(["div", "p", "a", "ul", "section", "b"]) if depth else "body"
+        parts = ["x" * rng.randint(0, 30) if rng.random() < 0.5 else grow(depth + 1) for _ in range(rng.randint(0, 4 if depth < 4 else 0))]
+        return tag, parts
+
+    def build(tree, parent=None):
+        node = extract.Node(tree[0], parent)
+        node.parts = [p if isinstance(p, str) else build(p, node) for p in tree[1]]
+        return node
+
+    def counts(tree, linked=False):
+        linked |= tree[0] == "a"
+        own = sum(len(p) for p in tree[1] if isinstance(p, str))
+        c, t, lc, lt = own, 1, own * linked, int(linked)
+        for p in tree[1]:
+            if not isinstance(p, str):
+                c, t, lc, lt = (x + y for x, y in zip((c, t, lc, lt), counts(p, linked), strict=True))
+        return c, t, lc, lt
+
+    def value(c, t, lc, lt, share):
+        return c / t * math.log(max(c / max(lc, 1) * t / max(lt, 1), 1) + math.e - 1) / math.log(c / max(c - lc, 1) * lc + share * c + math.e) if c else 0.0
+
+    def check(tree, node, share, linked=False):
+        linked |= tree[0] == "a"
+        own = sum(len(p) for p in tree[1] if isinstance(p, str))
+        assert node.density == pytest.approx(value(*counts(tree, linked), share))
+        kids = [p for p in tree[1] if not isinstance(p, str)]
+        assert node.total == pytest.approx(value(own, 1, own * linked, int(linked), share) + sum(value(*counts(k, linked), share) for k in kids))
+        for k, n in zip(kids, [p for p in node.parts if not isinstance(p, str)], strict=True):
+            check(k, n, share, linked)
+
+    for _ in range(200):
+        tree = grow(0)
+        body = build(tree)
+        extract.measure(extract._order(body), body)
+        c, _, lc, _ = counts(tree)
+        check(tree, body, lc / c if c else 0.0)
 
 
 # WARC

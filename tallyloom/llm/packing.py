@@ -3,17 +3,19 @@
 A piece is a document's tokens or, of a longer document, one of its parts of
 ``capacity`` tokens, the first of which may be shorter. Only the number of
 pieces of each length matters to the packing, so it is planned on a histogram
-of at most ``capacity`` counts, whatever the number of documents. The longest
-length left opens sequences; its gap is filled exactly by a single length, else
-a pair, else a triple, looked up by sum and used as often as the counts allow;
-what has no exact filler takes the longest length that fits (best fit). The
+of at most ``capacity`` counts, whatever the number of documents. The sums of
+one, two and three lengths are indexed. The longest length left opens sequences;
+its gap is filled exactly by a single length, else a pair, else a triple, looked
+up by sum and used as often as the counts allow; what has no exact filler takes
+the longest length that fits (best fit), and its new gap is looked up again. The
 plan is a list of runs: so many sequences with these lengths. A piece's rank
 within its length, counted over salted groups, finds its run, sequence and
 offset by a join.
 
-Null texts are empty: one piece with the end token alone. Rows that repeat a
-doc_id are pieces of their own. Extra columns stay, those named like an output
-are replaced.
+Null texts are empty: one piece with the end token alone. Very long texts are
+tokenized whole. Rows that repeat a doc_id are pieces of their own. An empty
+table gives an empty one. Extra columns stay, those named like an output are
+replaced.
 """
 
 from __future__ import annotations
@@ -45,27 +47,25 @@ class PieceTokenizer:
     over its merges, which gives the same ids as ``tokenizers`` several times
     faster (a test compares them). The pattern's look-ahead is slow and only
     tells on runs of white space, so texts without one go by a pattern without it.
-    With ``added``, the file's added tokens in a text get their own ids, as
-    ``tokenizers`` does by default; else they are text (its ``encode_special_tokens``).
+    The file's added tokens in a text get their own ids, as ``tokenizers`` gives them.
     """
 
-    def __init__(self, path: str, added: bool = False):
+    def __init__(self, path: str):
         import json
 
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
-        model = file["model"]
-        back = {c: b for b, c in _byte_characters().items()}
-        ranks = {bytes(back[c] for c in token): i for token, i in model["vocab"].items() if all(c in back for c in token) and not (token.startswith("<|") and token.endswith("|>"))}
-        self.whole = tiktoken.Encoding("whole", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.plain = tiktoken.Encoding("plain", pat_str=_PATTERN.replace(_LOOK_AHEAD, ""), mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        own = file.get("added_tokens") or [] if added else []
+        model, own = file["model"], file.get("added_tokens") or []
         if any(t.get(k) for t in own for k in ("single_word", "lstrip", "rstrip")):
             raise ValueError(f"{path}: added tokens that are whole words or take white space in are not supported")
         self.added = {t["content"]: array("I", [t["id"]]).tobytes() for t in own}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if own else None
+        back = {c: b for b, c in _byte_characters().items()}
+        ranks = {bytes(back[c] for c in token): i for token, i in model["vocab"].items() if all(c in back for c in token) and token not in self.added}
+        self.whole = tiktoken.Encoding("whole", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.plain = tiktoken.Encoding("plain", pat_str=_PATTERN.replace(_LOOK_AHEAD, ""), mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __call__(self, text: str) -> bytes:
         if self.split and any(t in text for t in self.added):
@@ -84,7 +84,7 @@ _tokenizers: dict[str, PieceTokenizer] = {}
 def tokenizer(path: str) -> PieceTokenizer:
     """One a process and file; a worker keeps it for its next tasks."""
     if path not in _tokenizers:
-        _tokenizers[path] = PieceTokenizer(path, added=True)
+        _tokenizers[path] = PieceTokenizer(path)
     return _tokenizers[path]
 
 
@@ -144,70 +144,100 @@ def tokenize_pieces(docs: DataFrame, path: str | None = None, capacity: int = CA
     return docs.mapInArrow(run, T.StructType(kept + made))
 
 
-def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Runs (lengths, number of sequences), given how many pieces each length has."""
-    left = np.zeros(capacity + 1, np.int64)
-    for length, n in counts.items():
-        if not 0 < length <= capacity:
-            raise ValueError(f"a piece of {length} tokens doesn't fit {capacity}")
-        left[length] += n
-    runs: list[tuple[tuple[int, ...], int]] = []
+class SumIndex:
+    """The sums of one, two and three available lengths, each with its combinations, longest part first.
+
+    ``pairs[s]`` lists the pairs of sum s. A triple is its longest part and a pair
+    of the rest, so ``triples[s]`` lists longest parts whose rest has pairs.
+    ``left`` counts only fall, so a combination that runs out is dropped from the
+    end of its list for good; ``held`` are those that an open sequence has.
+    """
 
-    def usable(parts: tuple[int, ...]) -> int:
-        return min(int(left[p]) // parts.count(p) for p in set(parts))
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.left, self.held = [0] * (capacity + 1), [0] * (capacity + 1)
+        for length, n in counts.items():
+            if not 0 < length <= capacity:
+                raise ValueError(f"a piece of {length} tokens doesn't fit {capacity}")
+            self.left[length] += n
+        self.lengths = [n for n in range(1, capacity + 1) if self.left[n]]
+        self.pairs: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
+        for a in self.lengths:  # rising, so that the pair with the longest part stands last
+            for b in self.lengths:
+                if b > a or a + b > capacity:
+                    break
+                self.pairs[a + b].append((a, b))
+        self.triples: dict[int, list[int]] = {}
+
+    def free(self, length: int) -> int:
+        return self.left[length] - self.held[length]
+
+    def usable(self, parts: tuple[int, ...]) -> int:
+        """How many sequences of these lengths the free counts allow."""
+        return min(self.free(p) // parts.count(p) for p in parts)
+
+    def hold(self, parts: tuple[int, ...], n: int = 1) -> None:
+        for p in parts:
+            self.held[p] += n
 
-    def take(parts: tuple[int, ...], n: int) -> None:
+    def take(self, parts: tuple[int, ...], n: int) -> None:
         for p in parts:
-            left[p] -= n
-        runs.append((parts, n))
-
-    def pair(total: int, most: int) -> tuple[int, int] | None:
-        """The pair of available lengths with this sum whose longer one, at most ``most``, is longest."""
-        a = np.arange(min(most, total - 1), (total - 1) // 2, -1)
-        if not len(a):
-            return None
-        b = total - a
-        ok = (left[a] > 0) & (left[b] > 0) & ((a != b) | (left[a] > 1))
-        i = int(ok.argmax())
-        return (int(a[i]), int(b[i])) if ok[i] else None
-
-    def exact(gap: int, most: int) -> tuple[int, ...] | None:
+            self.left[p] -= n
+
+    def pair(self, total: int, longest: int) -> tuple[int, int] | None:
+        """The pair of this sum with the longest part, at most ``longest``."""
+        found = self.pairs[total]
+        while found and not (self.left[found[-1][0]] and self.left[found[-1][1]]):
+            found.pop()
+        return next((parts for parts in reversed(found) if parts[0] <= longest and self.usable(parts)), None)
+
+    def triple(self, total: int) -> tuple[int, int, int] | None:
+        """The triple of this sum with the longest part, then with the longest second one."""
+        if total not in self.triples:
+            self.triples[total] = [a for a in self.lengths if 3 * a >= total and a < total - 1 and self.pairs[total - a]]
+        found = self.triples[total]
+        while found and not self.left[found[-1]]:
+            found.pop()
+        for a in reversed(found):
+            if self.free(a):
+                self.hold((a,))
+                rest = self.pair(total - a, a)
+                self.hold((a,), -1)
+                if rest:
+                    return (a, *rest)
+        return None
+
+    def exact(self, gap: int) -> tuple[int, ...] | None:
+        """Free lengths that fill the gap exactly: none, one, two or three."""
         if gap == 0:
             return ()
-        if gap <= most and left[gap]:
+        if self.free(gap):
             return (gap,)
-        if found := pair(gap, min(most, gap)):
-            return found
-        for a in np.flatnonzero(left[1 : min(most, gap - 2) + 1])[::-1] + 1:
-            left[a] -= 1
-            found = pair(gap - int(a), min(int(a), gap))
-            left[a] += 1
-            if found:
-                return (int(a), *found)
-        return None
+        return self.pair(gap, gap) or self.triple(gap)
 
+    def longest(self, gap: int) -> int:
+        """The longest free length that fits, or 0."""
+        return next((n for n in range(gap, 0, -1) if self.free(n)), 0)
+
+
+def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """Runs (lengths, number of sequences), given how many pieces each length has."""
+    index = SumIndex(counts, capacity)
+    runs: list[tuple[tuple[int, ...], int]] = []
     for longest in range(capacity, 0, -1):
-        while left[longest]:
-            left[longest] -= 1
-            fill = exact(capacity - longest, longest)
-            left[longest] += 1
-            if fill is not None:
-                parts = (longest, *fill)
-                take(parts, usable(parts))
-                continue
-            # Best fit of what no single, pair or triple fills: the longest that fits, then exact fillers of the new gap.
-            parts, gap = [longest], capacity - longest
-            left[longest] -= 1
-            while gap and (fits := np.flatnonzero(left[1 : gap + 1])).size:
-                fill = exact(gap, gap)
-                new = fill if fill else (int(fits[-1]) + 1,)
-                for p in new:
-                    left[p] -= 1
+        while index.left[longest]:
+            parts, gap = (longest,), capacity - longest
+            index.hold(parts)
+            while gap:  # an exact filler or, as long as there is none, the best fit
+                new = index.exact(gap) or ((n,) if (n := index.longest(gap)) else ())
+                if not new:
+                    break
+                index.hold(new)
                 parts += new
                 gap -= sum(new)
-            for p in parts:
-                left[p] += 1
-            take(tuple(parts), usable(tuple(parts)))
+            index.hold(parts, -1)
+            n = index.usable(parts)
+            index.take(parts, n)
+            runs.append((parts, n))
     return runs
 
 

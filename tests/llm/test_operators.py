@@ -344,7 +344,6 @@ def test_tokens_match_library():
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(packing.tokenizer_path())
-    library.encode_special_tokens = True
     encode = packing.PieceTokenizer(packing.tokenizer_path())
     texts = [t for _, t, *_ in NASTY if t] + [" ", "a  b", "x \n y", "a\n b", "it's we'll <|endoftext|> x", "\t\ta b c　d ", "é́ ² Ⅷ 12½", "a \x1c b\x1cc", " lead", "trail ", "a\n\nb c\n", "\xa0 a\xa0b c", "a b\x85c d"]
     for t in texts:
@@ -418,6 +417,27 @@ def test_plan(seed):
     assert sum(n for _, n in runs) <= 1.02 * len(gaps) + 1
 
 
+def test_sum_index():
+    """Every lookup against a search over all combinations, while counts fall."""
+    from itertools import combinations_with_replacement
+
+    rng = random.Random(5)
+    for _ in range(60):
+        counts = {n: rng.randint(1, 3) for n in range(1, 21) if rng.random() < 0.4}
+        index = packing.SumIndex(counts, 20)
+        for _ in range(12):
+            held = [n for n in range(1, 21) if index.left[n]]
+            ways = lambda total, k: [c[::-1] for c in combinations_with_replacement(held, k) if sum(c) == total and all(c.count(p) <= index.left[p] for p in c)]  # noqa: B023, E731
+            total = rng.randint(1, 20)
+            assert index.pair(total, total) == max(ways(total, 2), default=None)
+            assert index.triple(total) == max(ways(total, 3), default=None)
+            found = index.exact(total)
+            assert (found is None) == (not any(ways(total, k) for k in (1, 2, 3)))
+            assert index.longest(total) == max((n for n in held if n <= total), default=0)
+            if found:
+                index.take(found, 1)
+
+
 def test_plan_exact():
     assert sum(n for _, n in packing.plan_packing({7: 3, 2: 3, 1: 3}, 10)) == 3  # a pair fills each
     assert sum(n for _, n in packing.plan_packing({6: 1, 2: 1, 1: 2}, 10)) == 1  # a triple

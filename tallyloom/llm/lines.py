@@ -52,7 +52,7 @@ BLOCK_WORDS = 25
 #: Documents that may have a rare line.
 RARE = 4
 #: Documents in one chain of a frequent key.
-CHAIN_ROWS = 2_000
+CHAIN_ROWS = 500
 
 Line = tuple[int, int]  # position, hash
 Range = tuple[int, int]  # [start, end)

@@ -790,3 +790,127 @@ def test_license_runs_brute():
         rows = text.split("\n")
         runs = [matcher.best(" ".join(rows[a:b])) for a in range(len(rows)) for b in range(a + 1, len(rows) + 1)]
         assert matcher.scan(text)[1] == max((c for n, c in runs if n), default=0.0)
+
+
+# Openings and passages of licence texts that name other licences or versions, as published.
+OPENINGS = {
+    "GPL-1.0": "\n                    GNU GENERAL PUBLIC LICENSE\n                     Version 1, February 1989\n\n Copyright (C) 1989 Free Software Foundation, Inc.\n",
+    "GPL-2.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Copyright (C) 1989, 1991 Free Software Foundation, Inc.,\n",
+    "GPL-3.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.\n",
+    "LGPL-2.0": "                  GNU LIBRARY GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n",
+    "LGPL-2.1": "                  GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 2.1, February 1999\n\n[This is the first released version of the Lesser GPL.  It also counts\n as the successor of the GNU Library Public License, version 2, hence\n the version number 2.1.]\n",
+    "LGPL-3.0": "                   GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n  This version of the GNU Lesser General Public License incorporates\nthe terms and conditions of version 3 of the GNU General Public\nLicense, supplemented by the additional permissions listed below.\n",
+    "AGPL-3.0": "                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007\n",
+    "GFDL-1.2": "                GNU Free Documentation License\n                  Version 1.2, November 2002\n",
+    "GFDL-1.3": "                GNU Free Documentation License\n                 Version 1.3, 3 November 2008\n",
+    "MPL-1.1": "                          MOZILLA PUBLIC LICENSE\n                                Version 1.1\n\n                              ---------------\n",
+    "MPL-2.0": "Mozilla Public License Version 2.0\n==================================\n",
+    "Apache-2.0": "\n                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n",
+    "EPL-1.0": "Eclipse Public License - v 1.0\n\nTHE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE\n",
+    "EPL-2.0": "Eclipse Public License - v 2.0\n\n    THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE\n    PUBLIC LICENSE\n",
+    "BSL-1.0": "Boost Software License - Version 1.0 - August 17th, 2003\n\nPermission is hereby granted, free of charge, to any person or organization\nobtaining a copy of the software\n",
+    "CC0-1.0": "Creative Commons Legal Code\n\nCC0 1.0 Universal\n\n    CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM AND DOES NOT PROVIDE\n",
+    "CC-BY-NC-SA-4.0": "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International\nPublic License\n",
+}
+PASSAGES = [
+    "  13. Use with the GNU Affero General Public License.\n\n  Notwithstanding any other provision of this License, you have\npermission to link or combine any covered work with a work licensed\nunder version 3 of the GNU Affero General Public License into a single\ncombined work, and to convey the resulting work.",
+    "1.12. \"Secondary License\"\n    means either the GNU General Public License, Version 2.0, the GNU\n    Lesser General Public License, Version 2.1, the GNU Affero General\n    Public License, Version 3.0, or any later versions of those\n    licenses.",
+    "This General Public License does not permit incorporating your program into\nproprietary programs.  If your program is a subroutine library, you may\nconsider it more useful to permit linking proprietary applications with the\nlibrary.  If this is what you want to do, use the GNU Lesser General\nPublic License instead of this License.",
+]
+
+
+def test_license_texts():
+    import glob
+    import os
+
+    matcher = licenses.Matcher()
+    for name, opening in OPENINGS.items():
+        assert matcher.scan(opening + "\n".join(PASSAGES))[0] == name
+        assert matcher.scan("\n".join(PASSAGES) + "\n\n" + opening)[0] == name
+    # Notices differ in the version and in a word of the name.
+    for number in ("1", "2", "2.1", "3", "4"):
+        for title in ("General", "Lesser General", "Library General", "Affero General"):
+            notice = licenses._GNU.format(f"{title} Public License", number)
+            name = {"General": "GPL", "Lesser General": "LGPL", "Library General": "LGPL", "Affero General": "AGPL"}[title] + f"-{number if '.' in number else number + '.0'}"
+            known = name in licenses.TEMPLATES and (title, number) not in (("Lesser General", "2"), ("Library General", "3"), ("Library General", "2.1"))
+            assert matcher.scan(notice)[0] == (name if known else None), notice
+    assert matcher.scan("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.")[0] == "CC-BY-NC-ND-4.0"
+    assert matcher.scan("Licensed under CC BY 3.0.")[0] is None and matcher.scan("Licensed under the Apache License v2")[0] == "Apache-2.0"
+    named = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+    for path in glob.glob("/usr/share/common-licenses/*"):  # where the system has them, the whole texts
+        if (name := os.path.basename(path)) in named:
+            with open(path, encoding="utf-8", errors="replace") as f:
+                assert matcher.scan(f.read())[0] == named[name]
+
+
+def cosines(templates, lines, limit):
+    """The best (cosine, name) over all runs of lines of at most ``limit`` weighted words, by the definition of TF-IDF."""
+    import math
+
+    bags = [(n, Counter(licenses.tokens(t))) for n in sorted(templates) for t in templates[n]]
+    weight = lambda w: math.log((1 + len(bags)) / (1 + sum(w in b for _, b in bags))) + 1
+    own, best = [licenses.tokens(x) for x in lines], (0.0, None)
+    vocabulary = {w for _, b in bags for w in b}
+    known = {w: weight(w) for w in vocabulary}
+    unseen = math.log(1 + len(bags)) + 1
+    for a in range(len(own)):
+        for b in range(a + 1, len(own) + 1):
+            run = Counter(w for ws in own[a:b] for w in ws)
+            if sum(run.values()) > limit and b > a + 1 or not vocabulary & run.keys():
+                continue
+            norm = math.sqrt(sum((c * known.get(w, unseen)) ** 2 for w, c in run.items()))
+            for name, bag in bags:
+                need, telling = licenses.required(name, bag)
+                if not need <= run.keys() or telling is not None and telling != licenses.TELLING & run.keys():
+                    continue
+                dot = sum(run[w] * c * known[w] ** 2 for w, c in bag.items())
+                cosine = round(dot / norm / math.sqrt(sum((c * known[w]) ** 2 for w, c in bag.items())), 12)
+                if cosine >= licenses.THRESHOLD and cosine > best[0]:
+                    best = (cosine, name)
+    return best
+
+
+def test_license_scan_brute():
+    import duckdb
+
+    matcher, rng = licenses.Matcher(), random.Random(11)
+    texts = [t or "" for (t,) in duckdb.connect().execute(f"SELECT text FROM '{SF}/documents.parquet'").fetchall()]
+    texts = [t for t in texts if t.count("\n") < 12]
+    stated = [t for t in texts if matcher.scan(t)[0]]
+    assert stated
+    pool = [t for own in licenses.TEMPLATES.values() for t in own if len(t) < 250]
+    made = ["\n".join([prose(i, 5), *rng.choice(pool).split(" ", rng.randint(0, 5)), prose(i + 1, 3)]) for i in range(25)]
+    for text in stated[:15] + texts[:25] + made:
+        cosine, name = cosines(licenses.TEMPLATES, text.split("\n"), matcher.most_words)
+        got = matcher.scan(text)
+        assert got[1] == pytest.approx(cosine, abs=1e-9) and (got[0] is None) == (name is None)
+
+
+def test_license_inheritance_brute(spark):
+    """Every file against a walk up its own path."""
+    import os.path
+
+    rng = random.Random(12)
+    statements = [None, "Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "plain words", "# Licensed under the Apache License, Version 2.0.\ncode"]
+    rows = []
+    for _ in range(250):
+        folder = "/".join(rng.choice("ab") for _ in range(rng.randint(0, 5)))
+        rows.append((f"{folder}/{rng.choice(['LICENSE', 'COPYING', 'x.py', 'y.c', 'z'])}".lstrip("/"), rng.choice(statements)))
+    rows = list(dict(rows).items())
+    matcher = licenses.Matcher()
+    own = {p: matcher.scan(t) for p, t in rows}
+
+    def walk(path):
+        if own[path][0]:
+            return own[path][0], "own", path
+        folder = os.path.dirname(path)
+        while True:
+            said = [(-own[p][1], p) for p in own if os.path.dirname(p) == folder and os.path.basename(p) in ("LICENSE", "COPYING") and own[p][0]]
+            if said:
+                return own[min(said)[1]][0], "inherited", min(said)[1]
+            if not folder:
+                return None, "none", None
+            folder = os.path.dirname(folder)
+
+    got = {r.path: (r.license, r.origin, r.license_path) for r in licenses.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {p: walk(p) for p, _ in rows}

@@ -1,16 +1,23 @@
 """Shards in a folder with size-tiered compaction and a versioned manifest.
 
-Arrivals are appended as small immutable Parquet shards. Shards of similar size
-form a tier; once a tier has ``FANOUT`` of them, they are merged into files of
-about the target size, which the reader packs from whole shards, without a
-shuffle. A manifest lists the shards of a version. It is written aside and
-committed by a rename that fails if the version exists, so that readers see one
-version whole and of two writers one has to retry. Data files are never changed
-or removed by a merge; ``vacuum`` removes those that no kept version lists.
-
-Rows come back as they were: nulls, empty and long texts, repeated rows and
-extra columns. An empty arrival commits a version without new shards. Column
-names that differ only by case are an error, as everywhere in Spark.
+An arrival is appended as a *run*: a folder of small immutable Parquet shards.
+Runs of similar size form a tier; once a tier has ``FANOUT`` of them, they are
+merged, a tier at a time, into one run of files of about the target size, which
+the reader packs from whole shards without a shuffle. A run whose files have
+that size already is settled and stays. A manifest lists the runs of a version,
+never files, of which only executors and Spark's own file index hear. It is
+written aside and committed by a rename that fails if the version exists, so
+that readers see one version whole and of two writers one has to retry. Data
+files are never changed or removed by a merge; ``vacuum`` removes the runs that
+no kept version lists.
+
+Arrivals that come mixed in one table are parted by a rebalancing shuffle, so
+that an arrival's shards are few and a large arrival is spread over several.
+
+Rows come back as they were: nulls, empty and very long texts, repeated rows and
+extra columns of any name. An empty arrival commits a version without new runs;
+a store without rows gives an empty table. Column names that differ only by case
+are an error, as everywhere in Spark.
 """
 
 from __future__ import annotations
@@ -28,7 +35,8 @@ TARGET_BYTES = 128 << 20
 FANOUT = 4
 BASE_BYTES = 1 << 20
 
-MANIFEST = "path string, bytes bigint, n_rows bigint, tier int"
+#: ``run`` is a folder's path below the store's own.
+MANIFEST = "run string, files bigint, bytes bigint, n_rows bigint, tier int"
 
 
 class VersionConflict(RuntimeError):
@@ -54,17 +62,17 @@ class ShardStore:
         return sorted(int(s.getPath().getName()[1:]) for s in self._fs().listStatus(folder) if s.getPath().getName().startswith("v"))
 
     def manifest(self, version: int | None = None) -> DataFrame:
-        """The shards of a version, the last one by default: path, bytes, n_rows, tier."""
+        """The runs of a version, the last one by default: run, files, bytes, n_rows, tier."""
         if version is None:
             version = max(self.versions(), default=0)
         if not version:
             return self.spark.createDataFrame([], MANIFEST)
         return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifests/v{version:010d}")
 
-    def commit(self, shards: DataFrame, version: int) -> None:
+    def commit(self, runs: DataFrame, version: int) -> None:
         """The manifest of ``version``, whole or not at all."""
         aside = f"{self.root}/staging/{uuid.uuid4().hex}"
-        shards.coalesce(1).write.parquet(aside)
+        runs.coalesce(1).write.parquet(aside)
         jvm = self.spark._jvm
         self._fs().mkdirs(self._path(f"{self.root}/manifests"))
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.root).toUri(), self.spark._jsc.hadoopConfiguration())
@@ -77,84 +85,88 @@ class ShardStore:
                 raise VersionConflict(f"version {version}") from e
             raise
 
-    def tier_of(self, size: Column) -> Column:
-        """0 below the base size, then one more for each factor of ``fanout``; -1 for files of half the target or more, which stay."""
+    def tier_of(self, size: Column, files: Column) -> Column:
+        """0 below the base size, then one more for each factor of ``fanout``; -1 for runs whose files have half the target or more."""
         steps = F.floor(F.log(F.greatest(size / BASE_BYTES, F.lit(1.0))) / math.log(self.fanout)).cast("int")
-        return F.when(size >= self.target // 2, F.lit(-1)).otherwise(steps)
+        return F.when(size >= files * (self.target // 2), F.lit(-1)).otherwise(steps)
+
+    def _listed(self, folder: str) -> DataFrame:
+        """(run, bytes) of each data file below a folder of the store; no file is opened."""
+        files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(f"{self.root}/{folder}")
+        return files.select(_run_of(F.col("path")).alias("run"), F.col("length").alias("bytes"))
 
     def _described(self, folder: str) -> DataFrame:
-        """Manifest rows of the files that a write left in ``folder``; only their footers are read."""
-        files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(folder).select("path", F.col("length").alias("bytes"))
-        rows = self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(folder).select(F.col("_metadata.file_path").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n_rows"))
-        # The two name files alike but for escapes and the form of file:/.
-        plain = lambda c: F.regexp_replace(F.url_decode(F.regexp_replace(c, r"\+", "%2B")), "^file:/+", "file:/")
-        return files.join(rows, plain(files.path) == plain(rows.p)).select("path", "bytes", "n_rows", self.tier_of(F.col("bytes")).alias("tier"))
+        """Manifest rows of the runs that a write left in ``folder``; only their files' footers are read."""
+        sizes = self._listed(folder).groupBy("run").agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))
+        rows = self._reader().load(f"{self.root}/{folder}").select(_run_of(F.col("_metadata.file_path")).alias("r")).groupBy("r").agg(F.count(F.lit(1)).alias("n_rows"))
+        return sizes.join(rows, sizes.run == rows.r).select("run", "files", "bytes", "n_rows", self.tier_of(F.col("bytes"), F.col("files")).alias("tier"))
+
+    def _reader(self, spark: SparkSession | None = None):
+        return (spark or self.spark).read.format("parquet").schema(self.schema).option("recursiveFileLookup", "true")
 
     # Data
 
-    def append(self, arrivals: DataFrame, by: str | None = None) -> int:
-        """Writes rows as new shards, one set for each value of ``by``, and commits a version; gives its number."""
-        folder = f"{self.root}/data/append-{uuid.uuid4().hex}"
-        writer = (arrivals.select(*self.schema.names, *([by] if by else []))).write.option("compression", "zstd")
-        (writer.partitionBy(by) if by else writer).parquet(folder)
+    def append(self, arrivals: DataFrame, by: Column | None = None) -> int:
+        """Writes rows as a new run, or as one for each value of ``by``, and commits a version; gives its number."""
+        folder = f"data/append-{uuid.uuid4().hex}"
+        columns = [F.col(f"`{c}`") for c in self.schema.names]
+        if by is None:
+            arrivals.select(*columns).write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
+        else:
+            key = f"arrival_{uuid.uuid4().hex}"
+            dealt = arrivals.select(*columns, F.xxhash64(by).alias(key)).hint("rebalance", F.col(key))
+            dealt.write.option("compression", "zstd").partitionBy(key).parquet(f"{self.root}/{folder}")
         version = max(self.versions(), default=0) + 1
         self.commit(self.manifest(version - 1).unionByName(self._described(folder)), version)
         return version
 
     def compact(self) -> int:
-        """Merges tiers until none has ``fanout`` shards that fit together; gives the last version."""
+        """Merges due tiers, the smallest first, until none has ``fanout`` runs; gives the last version."""
         version = max(self.versions(), default=0)
         while True:
-            shards = self.manifest(version)
-            # Tiers that are due; a version lists files, as Spark's own file index does, never rows.
-            due = shards.where("tier >= 0").groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).where(F.col("n") >= self.fanout)
-            tiers = [r.tier for r in due.collect()]
-            if not tiers:
+            runs = self.manifest(version)
+            due = runs.where("tier >= 0").groupBy("tier").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= self.fanout).agg(F.min("tier")).first()[0]
+            if due is None:
                 return version
-            merged = [r.path for r in shards.where(F.col("tier").isin(tiers)).select("path").toLocalIterator()]
-            folder = f"{self.root}/data/merge-{uuid.uuid4().hex}"
+            merged = [r.run for r in runs.where(F.col("tier") == due).select("run").toLocalIterator()]  # folders: as many as arrivals, not as files
+            folder = f"data/merge-{uuid.uuid4().hex}"
             self._merge(merged, folder)
-            new = self._described(folder)
-            if new.count() >= len(merged):  # nothing could be joined
-                return version
             version += 1
-            self.commit(shards.where(~F.col("tier").isin(tiers)).unionByName(new), version)
+            self.commit(runs.where(F.col("tier") != due).unionByName(self._described(folder)), version)
 
-    def _merge(self, paths: list[str], folder: str) -> None:
+    def _merge(self, runs: list[str], folder: str) -> None:
         """One output file for each read partition: the reader sorts files by size and packs them up to the target."""
-        conf, kept = self.spark.conf, {}
-        packing = {"spark.sql.files.maxPartitionBytes": str(self.target), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
-        for k, v in packing.items():
-            kept[k] = conf.get(k, None)
-            conf.set(k, v)
-        try:
-            self.spark.read.schema(self.schema).parquet(*paths).write.option("compression", "zstd").parquet(folder)
-        finally:
-            for k, v in kept.items():
-                conf.unset(k) if v is None else conf.set(k, v)
+        session = self.spark.newSession()  # of its own, so that no other query sees these settings
+        for k, v in {"maxPartitionBytes": self.target, "openCostInBytes": 0, "minPartitionNum": 1}.items():
+            session.conf.set(f"spark.sql.files.{k}", str(v))
+        self._reader(session).load([f"{self.root}/{r}" for r in runs]).write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version."""
-        paths = [r.path for r in self.manifest(version).select("path").toLocalIterator()]
-        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+        runs = [r.run for r in self.manifest(version).select("run").toLocalIterator()]
+        return self._reader().load([f"{self.root}/{r}" for r in runs]) if runs else self.spark.createDataFrame([], self.schema)
 
     def vacuum(self, keep: int = 1) -> int:
-        """Removes data files that none of the last ``keep`` versions lists; gives their number."""
-        live = None
+        """Removes the runs that none of the last ``keep`` versions lists; gives their number."""
+        live = self.spark.createDataFrame([], "run string")
         for v in self.versions()[-keep:]:
-            m = self.manifest(v).select("path")
-            live = m if live is None else live.unionByName(m)
-        every = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(f"{self.root}/data").select("path")
-        gone = [r.path for r in every.join(live, "path", "left_anti").toLocalIterator()]
-        for path in gone:
-            self._fs().delete(self._path(path), False)
+            live = live.unionByName(self.manifest(v).select("run"))
+        gone = [r.run for r in self._listed("data").select("run").distinct().join(live, "run", "left_anti").toLocalIterator()]
+        for run in gone:
+            self._fs().delete(self._path(f"{self.root}/{run}"), True)
         return len(gone)
 
 
+def _run_of(path: Column) -> Column:
+    """A data file's folder below the store: data/append-..., data/append-.../<arrival> or data/merge-..."""
+    return F.regexp_extract(path, r"(data/(?:append|merge)-[0-9a-f]+(?:/[^/]+)*)/[^/]+$", 1)
+
+
 def shard(df: DataFrame, arrival: Column, root: str | None = None, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT) -> ShardStore:
-    """A store with the rows of ``df``, appended as arrivals and compacted."""
+    """A store with the rows of ``df``, appended as arrivals and compacted; what was merged away is removed."""
     spark = df.sparkSession
     store = ShardStore(spark, root or shared_path(spark, "shards"), df.schema, target_bytes, fanout)
-    store.append(df.withColumn("__arrival", arrival), "__arrival")
+    store.append(df, arrival)
     store.compact()
+    store.vacuum()
     return store

@@ -674,25 +674,51 @@ def test_inflate(tmp_path):
 
 def test_shards(spark, tmp_path, nasty, empty):
     rows = clashing(nasty)
-    store = shards.ShardStore(spark, (tmp_path / "s").as_uri(), rows.schema)
+    store = shards.ShardStore(spark, (tmp_path / "a store").as_uri(), rows.schema)
     for i in range(5):
-        assert store.append(rows.withColumn("__a", F.lit(i % 2)), "__a") == i + 1
+        assert store.append(rows, F.lit(i % 2)) == i + 1
     before = store.manifest().count()
     version = store.compact()
-    assert version == 6 and store.manifest().count() < before
+    assert before == 5 and version == 6 and store.manifest().count() == 1
     key = lambda r: str(r)
     assert sorted(map(key, store.read().collect())) == sorted(map(key, rows.collect() * 5))
     assert store.read(1).count() == len(NASTY) and store.compact() == version
     assert sum(r.n_rows for r in store.manifest().collect()) == 5 * len(NASTY)
     with pytest.raises(shards.VersionConflict):
         store.commit(store.manifest(), version)
-    assert store.vacuum() > 0 and store.read().count() == 5 * len(NASTY)
+    assert store.vacuum() == 5 and store.vacuum() == 0 and store.read().count() == 5 * len(NASTY)
     bare = shards.ShardStore(spark, (tmp_path / "e").as_uri(), empty.schema)
     assert bare.read().count() == 0 and bare.compact() == 0
     bare.append(empty)
     assert bare.read().count() == 0
 
 
+def test_shard(spark, nasty, empty):
+    rows = clashing(nasty, "__arrival", "arrival", "run", "a.b")
+    key = lambda r: str(r)
+    store = shards.shard(rows, F.pmod(F.xxhash64("doc_id"), F.lit(5)))
+    assert sorted(map(key, store.read().collect())) == sorted(map(key, rows.collect())) and store.read().columns == rows.columns
+    assert store.vacuum() == 0  # nothing of the merges is left
+    assert shards.shard(empty, F.lit(1)).read().count() == 0
+
+
+def test_shards_tiers(spark, tmp_path):
+    """Runs of unlike sizes are never merged together, and settled ones stay."""
+    store = shards.ShardStore(spark, (tmp_path / "t").as_uri(), spark.range(1).schema, target_bytes=100_000, fanout=3)
+    tiers = lambda: sorted(r.tier for r in store.manifest().collect())
+    store.append(spark.range(200_000).coalesce(1))  # one file, larger than the target
+    store.append(spark.range(10).coalesce(1))
+    store.append(spark.range(10).coalesce(1))
+    assert tiers() == [-1, 0, 0] and store.compact() == 3
+    settled = store.manifest().where("tier = -1").first().run
+    store.append(spark.range(10).coalesce(1))
+    assert store.compact() == 5
+    assert store.manifest().where("tier = -1").first().run == settled and store.manifest().count() == 2
+    assert store.read().count() == 200_030
+    conf = "spark.sql.files.maxPartitionBytes"
+    assert spark.conf.get(conf) == "134217728b"
+
+
 # Top-k
 
 

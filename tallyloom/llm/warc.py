@@ -6,19 +6,22 @@ rewrites every record as a gzip member of its own with a sidecar index of
 offsets; records whose payload another page holds become revisits on the way,
 so payloads are never shuffled. ``read_archives`` fetches members by the index.
 
-Files go to the folder that all executors share, under names that follow from
-the partition, by a temporary name and a rename: a task that runs again writes
-the same files. A null payload is empty. Of equal payloads of at least
-``REVISIT_BYTES`` bytes the page with the largest page_id is the response; rows
-that repeat it are responses as well, as are rows with a null page_id.
+Files go to the folder that all executors share, under names that no two
+attempts of a task share and that the written tables list: a task that runs again
+writes further files, and only those of the attempt that counted are read; others
+go with the folder. A null payload is empty; very long ones are read and written
+in pieces, a record at a time. Of equal payloads of at least ``REVISIT_BYTES``
+bytes the page with the largest page_id is the response; rows that repeat it are
+responses as well, as are rows with a null page_id. An empty table gives no
+archive and no row. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
-from contextlib import suppress
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -75,22 +78,21 @@ def revisit(headers: dict[str, str], block: bytes, refers_to: int) -> bytes:
 
 
 def _write(uri: str, parts: Iterator[bytes]) -> int:
-    """Writes by a temporary name and a rename; gives the size."""
+    """Writes a file of a name that no other attempt has; gives the size."""
     store, path = _store(uri)
     store.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    context = TaskContext.get()
-    temporary = f"{path}.{context.taskAttemptId() if context else 0}.tmp"
     size = 0
-    with store.open_output_stream(temporary, compression=None) as f:
+    with store.open_output_stream(path, compression=None) as f:
         for part in parts:
             f.write(part)
             size += len(part)
-    with suppress(FileNotFoundError):
-        store.delete_file(path)
-    store.move(temporary, path)
     return size
 
 
+def _unique(stem: str) -> str:
+    return f"{stem}-{uuid.uuid4().hex[:12]}.warc.gz"
+
+
 _META = "archive string, n int, page_id bigint, payload_bytes bigint, payload_digest string"
 
 
@@ -104,7 +106,7 @@ def write_archives(pages: DataFrame, root: str, roll_bytes: int = ROLL_BYTES) ->
         gzip, size = zlib.compressobj(1, wbits=31), 0
 
         def close() -> pa.RecordBatch:
-            name = f"{partition:07d}-{number:05d}.warc.gz"
+            name = _unique(f"{partition:07d}-{number:05d}")
             _write(f"{root}/whole/{name}", iter([*packed, gzip.flush()]))
             cols = list(zip(*rows, strict=True))
             types = [pa.int64(), pa.int64(), pa.string()]
@@ -210,7 +212,7 @@ def revisits_of(meta: DataFrame) -> DataFrame:
 
 
 def normalise(meta: DataFrame, root: str) -> DataFrame:
-    """Every archive of ``meta`` with a member for each record and a sidecar index; a written table (archive, n_records)."""
+    """Every archive of ``meta`` with a member for each record and a sidecar index; a written table (archive, n_records) of the new ones."""
     lists = revisits_of(meta).groupBy("archive").agg(F.collect_list(F.struct("n", "refers_to")).alias("revisits"))  # ROLL_RECORDS at most
     archives = meta.select("archive").distinct().join(lists, "archive", "left")
     archives = archives.repartition(max(1, meta.agg(F.count_distinct("archive")).first()[0]), "archive")  # a row is a file's work
@@ -219,7 +221,8 @@ def normalise(meta: DataFrame, root: str) -> DataFrame:
         for batch in batches:
             done = []
             for name, found in zip(batch.column("archive").to_pylist(), batch.column("revisits").to_pylist(), strict=True):
-                done.append((name, normalise_file(f"{root}/whole/{name}", f"{root}/records/{name}", {x["n"]: x["refers_to"] for x in found or ()})))
+                own = _unique(name[: name.rindex("-")])
+                done.append((own, normalise_file(f"{root}/whole/{name}", f"{root}/records/{own}", {x["n"]: x["refers_to"] for x in found or ()})))
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done]), pa.array([d[1] for d in done], pa.int64())], ["archive", "n_records"])
 

@@ -9,19 +9,24 @@ hash buckets, are compared with the text directly. Many positions of a batch
 move at once, each through its own part of the text.
 
 Null and empty texts have no words. A repeated row is a row of its own; items
-of the same id count as one item. Extra columns stay; those named like an
-output are replaced. An empty benchmark contaminates nothing.
+of the same id count as one item, as do all without an id: their windows are hits
+and they count as an item, though no id names them. Very long texts are searched
+whole. Extra columns stay; those named like an output are replaced. An empty
+benchmark contaminates nothing; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, map_texts, materialize, without
+from .common import Words, map_texts, materialize
 
 WINDOW = 10
 #: Bytes of item text in one pass; a larger benchmark is searched in several.
@@ -155,12 +160,13 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 _RANGE = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-OUTPUT = [T.StructField("n_words", T.LongType()), T.StructField("hit_ranges", _RANGE), T.StructField("item_ids", T.ArrayType(T.LongType()))]
+HITS = [T.StructField("hit_ranges", _RANGE), T.StructField("item_ids", T.ArrayType(T.LongType()))]
+OUTPUT = [T.StructField("n_words", T.LongType()), *HITS]
 
 
-def _passes(benchmark: DataFrame, pass_bytes: int) -> list[list[tuple[int, str]]] | object:
+def _passes(benchmark: DataFrame, pass_bytes: int) -> Iterator[list[tuple[int | None, str]]]:
     """The items in lists of at most ``pass_bytes`` of text (or one item), fetched a list at a time."""
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where(F.col("text").isNotNull())
     batch, size = [], 0
     for item, text in items.toLocalIterator():
         if batch and size + len(text) > pass_bytes:
@@ -174,50 +180,65 @@ def _passes(benchmark: DataFrame, pass_bytes: int) -> list[list[tuple[int, str]]
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """``docs`` with n_words, hit_ranges (merged ranges of hit words) and item_ids (items with an occurring window).
 
-    A pass broadcasts at most ``pass_bytes`` of item text; each further pass
-    adds to the rows of the one before, which are written to the shared folder.
+    A pass broadcasts at most ``pass_bytes`` of item text. A benchmark of one
+    pass is searched in one map over the rows. Of more, each writes only what it
+    hits, by a 128-bit key of the text, and the rows are joined with it once.
     """
-    spark = docs.sparkSession
-    out = None
-    for items in _passes(benchmark, pass_bytes):
-        sent = spark.sparkContext.broadcast(items)
-        if out is None:
-            out = map_texts(docs, "text", OUTPUT, lambda sent=sent: _first(Searcher(sent.value, window)))
-        else:
-            before = materialize(out.withColumnsRenamed({"n_words": "__n", "hit_ranges": "__r", "item_ids": "__i"}), "decontaminate")
-            out = without(map_texts(before, "text", OUTPUT, lambda sent=sent: _next(Searcher(sent.value, window))), ["__n", "__r", "__i"])
-    return out
+    passes = _passes(benchmark, pass_bytes)
+    first, second = next(passes), next(passes, None)
+    context = docs.sparkSession.sparkContext
+    if second is None:
+        sent = context.broadcast(first)
+        return map_texts(docs, "text", OUTPUT, lambda: _all(Searcher(sent.value, window)))
+    texts = docs.select(_key("text").alias("key"), "text")
+    found = None
+    for items in chain((first, second), passes):
+        sent = context.broadcast(items)
+        hits = map_texts(texts, "text", [T.StructField("n_words", T.LongType()), *HITS], lambda sent=sent: _all(Searcher(sent.value, window))).where(F.size("item_ids") > 0)
+        hits = materialize(hits.select("key", "hit_ranges", "item_ids").dropDuplicates(["key"]), "benchmark_hits")
+        found = hits if found is None else found.unionByName(hits)
+    # A text's hits are bounded by its words and the passes.
+    found = found.groupBy("key").agg(F.flatten(F.collect_list("hit_ranges")).alias("ranges"), F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("ids")).withColumnRenamed("key", "k")
+    columns = [c for c in docs.columns if c.lower() not in {f.name for f in OUTPUT}]
+    others = [F.col(f"`{c}`") for c in columns if c != "text"]  # in a struct, where no name can clash
+    rows = docs.select(F.struct(F.lit(0).alias("none"), *others).alias("row"), "text", _key("text").alias("key"))
+    joined = rows.join(found, F.col("key") == F.col("k"), "left").select("row", "text", "ranges", "ids")
+    out = map_texts(joined, "text", OUTPUT, lambda: _united)
+    return out.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in columns), *(f.name for f in OUTPUT))
+
+
+def _key(column: str) -> Column:
+    return F.struct(F.xxhash64(column).alias("a"), F.xxhash64(F.lit(1), column).alias("b"))
 
 
 def _dicts(ranges: list[list[tuple[int, int]]]) -> list[list[dict]]:
     return [[{"start": a, "end": b} for a, b in r] for r in ranges]
 
 
-def _first(searcher: Searcher):
-    def run(batch: pa.RecordBatch) -> dict:
-        n, ranges, ids = searcher(batch.column("text"))
-        return {"n_words": n, "hit_ranges": _dicts(ranges), "item_ids": [sorted(i) for i in ids]}
-
-    return run
+def _sorted(ids: Iterable[int | None]) -> list[int | None]:
+    return sorted(ids, key=lambda x: (x is None, x))
 
 
-def _next(searcher: Searcher):
+def _all(searcher: Searcher):
     def run(batch: pa.RecordBatch) -> dict:
         n, ranges, ids = searcher(batch.column("text"))
-        old = [[(x["start"], x["end"]) for x in r] for r in batch.column("__r").to_pylist()]
-        both = [merged(a + b) for a, b in zip(ranges, old, strict=True)]
-        return {"n_words": n, "hit_ranges": _dicts(both), "item_ids": [sorted(i | set(j)) for i, j in zip(ids, batch.column("__i").to_pylist(), strict=True)]}
+        return {"n_words": n, "hit_ranges": _dicts(ranges), "item_ids": [_sorted(i) for i in ids]}
 
     return run
 
 
+def _united(batch: pa.RecordBatch) -> dict:
+    ranges = [merged([(x["start"], x["end"]) for x in r or ()]) for r in batch.column("ranges").to_pylist()]
+    return {"n_words": Words(batch.column("text")).counts(), "hit_ranges": _dicts(ranges), "item_ids": [_sorted(i or ()) for i in batch.column("ids").to_pylist()]}
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without those that hold a window of a benchmark item."""
     return scan(docs, benchmark).where(F.size("item_ids") == 0).select(*(f"`{c}`" for c in docs.columns))
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256 (of the ids there are), contaminated."""
     ids = F.array_sort(F.transform("item_ids", lambda x: x.cast("string")))
     hit = F.aggregate("hit_ranges", F.lit(0).cast("bigint"), lambda s, r: s + r["end"] - r["start"])
     found = scan(docs.select("doc_id", "text"), benchmark).select("doc_id", "n_words", hit.alias("n_hit"), F.size("item_ids").cast("bigint").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"))

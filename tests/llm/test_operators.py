@@ -85,17 +85,20 @@ def hits(text, items, window=10):
 def test_decontaminate_brute(spark, nasty):
     items = [(1, prose(1000, 14)), (2, "ONE!"), (3, None), (4, ""), (5, "..."), (10, " ".join(words(LONG)[5000:5030])), (11, " ".join(words(LONG)[5000:5030])), (None, "one")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
-    known = [(i, t) for i, t in items if i is not None and t]
-    for size in (1 << 20, 100):  # one pass, and several
+    known = [(i, t) for i, t in items if t]
+    for size in (1 << 20, 100, 1):  # one pass, several, and one an item
         got = decontaminate.scan(clashing(nasty, "n_words", "hit_ranges", "item_ids"), bench, pass_bytes=size).collect()
         assert len(got) == len(NASTY)
         for r in got:
             n, hit, ids = hits(r.text, known)
-            assert (r.n_words, sum(x.end - x.start for x in r.hit_ranges), r.item_ids) == (n, hit, sorted(ids))
+            assert (r.n_words, sum(x.end - x.start for x in r.hit_ranges), r.item_ids) == (n, hit, sorted(ids, key=lambda x: (x is None, x)))
     report = {r.doc_id: r for r in decontaminate.report(nasty, bench).collect()}
     assert report[7].n_items == 2 and report[7].items_sha256 == hashlib.sha256(b"10,11").hexdigest()
     assert report[4].items_sha256 == hashlib.sha256(b"").hexdigest() and not report[4].contaminated
     assert report[9].contaminated and report[8].contaminated
+    assert report[9].n_items == 2 and report[9].items_sha256 == hashlib.sha256(b"2").hexdigest()  # an item without an id counts
+    some = clashing(nasty, "n_words", "key", "row", "k", "ranges", "ids")
+    assert decontaminate.scan(some, bench, pass_bytes=1).columns == [c for c in some.columns if c != "n_words"] + ["n_words", "hit_ranges", "item_ids"]
 
 
 def test_decontaminate_empty(spark, nasty, empty):

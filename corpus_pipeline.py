@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps. ``run``
 writes every stage's rows as Parquet to the shared folder and reads them again
-for the next, so that a lost executor costs one stage at most.
+for the next, so that a lost executor costs one stage at most. What a stage wrote
+on its way, and the rows before it, go once its own rows are written.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.llm import decontaminate, jaccard, lines, packing, quality
-from tallyloom.llm.common import shared_path
+from tallyloom.storage import remove, scratch, shared_path
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = shared_path(spark, "stage-" + name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch():
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs

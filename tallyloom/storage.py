@@ -62,6 +62,11 @@ def scratch() -> Iterator[None]:
         _scope.reset(token)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a path of ``shared_path`` before its scope ends."""
+    _remove([(spark._jvm, spark._jsc.hadoopConfiguration(), path)])
+
+
 def _remove(paths: list) -> None:
     for jvm, conf, path in paths:
         with suppress(Exception):  # the JVM may be gone

@@ -491,6 +491,35 @@ def test_forest_walk():
     assert 0.9 < quality.train(x, np.ones(800)).scores(x[:1])[0] <= 1
 
 
+def test_splits_brute():
+    """A tree's splits against a search over every feature and cut of the binned values."""
+    rng = np.random.default_rng(3)
+    for _ in range(10):
+        x = rng.integers(0, 6, (120, 3)).astype(float)
+        y = (rng.random(120) < np.where(x[:, rng.integers(3)] > 2, 0.9, 0.2)).astype(float)
+        forest = quality.train(x, y, trees=1, depth=2, least=10)
+        p = 1 / (1 + np.exp(-forest.base))
+        grad, hess = y - p, np.full(120, p * (1 - p))
+
+        def best(rows, x=x, grad=grad, hess=hess):
+            gain = lambda m: grad[m].sum() ** 2 / (hess[m].sum() + 1)
+            cuts = [(gain(rows & (x[:, j] <= c)) + gain(rows & (x[:, j] > c)) - gain(rows), j, c) for j in range(3) for c in np.unique(x[rows, j])[:-1] if min((rows & (x[:, j] <= c)).sum(), (rows & (x[:, j] > c)).sum()) >= 10]
+            return max(cuts, default=(0.0, None, None), key=lambda e: e[0]) if rows.sum() >= 20 else (0.0, None, None)
+
+        open_ = [(int(forest.roots[0]), np.ones(120, bool), 0)]
+        while open_:
+            node, rows, level = open_.pop()
+            found, j, c = best(rows)
+            if forest.feature[node] < 0:
+                assert level == 2 or found <= 1e-6
+                assert forest.value[node] == pytest.approx(0.15 * grad[rows].sum() / (hess[rows].sum() + 1))
+                continue
+            left = rows & (x[:, forest.feature[node]] <= forest.threshold[node])
+            gain = lambda m: grad[m].sum() ** 2 / (hess[m].sum() + 1)
+            assert gain(left) + gain(rows & ~left) - gain(rows) == pytest.approx(found)
+            open_ += [(int(forest.left[node]), left, level + 1), (int(forest.right[node]), rows & ~left, level + 1)]
+
+
 # HTML
 
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header>Site</header><nav><a href="/">Home</a></nav><div id="wrap"><div class="article-body"><h1>Head &amp; tail</h1>

@@ -11,7 +11,6 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DOMAINS = ("bigint", "u64")
 _TWO64 = 2**64
 U64_TYPE = "decimal(20,0)"
 

@@ -170,6 +170,30 @@ def test_near_duplicates_brute(spark, sizes):
     assert got == brute_classes(rows)
 
 
+def test_near_duplicates_exact(spark):
+    """All the given documents against an exact join: shared shingles counted through an index of all of them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {}
+    for r in docs.select("doc_id", "text").collect():
+        w = words(r.text)
+        sets[r.doc_id] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    holders, links, root = defaultdict(list), Counter(), {d: d for d in sets}
+
+    def find(d):
+        return d if root[d] == d else find(root[d])
+
+    for d in sorted(sets):
+        for e, n in Counter(e for s in sets[d] for e in holders[s]).items():
+            if n >= 0.8 * (len(sets[d]) + len(sets[e]) - n) - 1e-9:
+                links.update((d, e))
+                x, y = sorted((find(d), find(e)))
+                root[y] = x
+        for s in sets[d]:
+            holders[s].append(d)
+    assert sum(links.values()) > 100
+    assert {r.doc_id: (r.class_id, r.n_links) for r in jaccard.near_duplicates(docs).collect()} == {d: (find(d), links[d]) for d in sets}
+
+
 def test_near_duplicates_edges(spark, nasty, empty):
     got = jaccard.near_duplicates(clashing(nasty, "fp", "sig", "n_shingles")).collect()
     assert len(got) == len(NASTY)

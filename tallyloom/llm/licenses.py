@@ -6,8 +6,8 @@ more words than could still reach the threshold with the longest template. Their
 sparse TF-IDF vectors are compared with the templates' by cosine; a statement
 below the threshold isn't one. Versions and the words that tell licences of a
 family apart (``TELLING``) must be the template's. Words that can be skipped are found from the
-weights: lines with none of the trigger words cannot reach the threshold, so
-nothing is lost. Of equal runs the first and shortest counts. A file named like a licence file speaks for its directory; a file without a
+weights: lines with none of the trigger words cannot reach the threshold, nor can
+templates of which a text has too few words at all, so nothing is lost. Of equal runs the first and shortest counts. A file named like a licence file speaks for its directory; a file without a
 statement of its own takes the licence of its nearest ancestor directory.
 Directories, not files, are joined with their ancestors, so the join grows with
 the directories and their depth.
@@ -63,7 +63,7 @@ TEMPLATES = {
     "Apache-1.1": ["The Apache Software License, Version 1.1"],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"],
     "Artistic-1.0": ['The "Artistic License" Preamble The intent of this document is to state the conditions under which a Package may be copied, such that the Copyright Holder maintains some semblance of artistic control over the development of the package'],
-    "Artistic-2.0": ["The Artistic License 2.0", "The Artistic License 2.0 Copyright (c) 2000-2006, The Perl Foundation."],
+    "Artistic-2.0": ["The Artistic License 2.0"],
     "BSD-2-Clause": ["Released under the BSD 2-Clause License.", "Licensed under the simplified BSD license.", f"{_BSD} {_BSD_WARRANTY}"],
     "BSD-3-Clause": ["Released under the BSD 3-Clause License.", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", f"{_BSD} {_BSD_NAMES} {_BSD_WARRANTY}"],
     "BSD-4-Clause": [f"{_BSD} {_ADVERTISING} {_BSD_NAMES} {_BSD_WARRANTY}"],
@@ -104,6 +104,7 @@ NOTICE_WORDS = 45
 FUNCTION_WORDS = frozenset("a all an and any as at be by can either except for found free from has have in into is it its later may not of on one or possible subject that the this to under use v via was with without work you your".split())
 
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
+_DIGITS = frozenset("0123456789")
 _VERSION = re.compile(r"v?([0-9]+(?:\.[0-9]+)*?)(?:\.0)*")
 
 
@@ -131,7 +132,7 @@ class Matcher:
         self.idf = {w: math.log((1 + n) / (1 + k)) + 1 for w, k in df.items()}
         self.unseen = math.log(1 + n) + 1
         self.index: dict[str, list[tuple[int, float]]] = defaultdict(list)
-        triggers = set()
+        self.triggers_of: list[set[str]] = [set() for _ in entries]
         for i, (_, counts) in enumerate(entries):
             vector = {w: c * self.idf[w] for w, c in counts.items()}
             norm = math.sqrt(sum(x * x for x in vector.values()))
@@ -142,11 +143,25 @@ class Matcher:
             for w, x in sorted(vector.items(), key=lambda e: (not e[0][0].isdigit(), len(e[0]) > 3, e[1], e[0])):
                 passed += (x / norm) ** 2
                 if passed >= (threshold - 1e-9) ** 2:
-                    triggers.add(w)
-        self.triggers = triggers
+                    self.triggers_of[i].add(w)
+        self.triggers = frozenset().union(*self.triggers_of)
         #: Words of a run: all of the longest template's and as many others of equal weight as leave the threshold in reach.
         self.most_words = math.ceil(max((sum(c.values()) for _, c in entries), default=0) / threshold**2)
 
+    def present(self, lower: str) -> set[str]:
+        """The triggers in a text of templates that can be in it: with all words that they require and, by the words that it shares, the threshold in reach."""
+        raw = set(_WORD.findall(lower))
+        words = self.idf.keys() & raw
+        words |= {t for w in raw if w[-1] in _DIGITS for t in tokens(w) if t in self.idf}
+        if self.triggers.isdisjoint(words):
+            return set()
+        reach: dict[int, float] = defaultdict(float)
+        for w in words:
+            for i, y in self.index[w]:
+                reach[i] += y * y
+        least = (self.threshold - 1e-9) ** 2
+        return {t for i, x in reach.items() if x >= least and self.required[i][0] <= words and (self.required[i][1] or frozenset()) <= words for t in self.triggers_of[i] & words}
+
     def best(self, statement: str) -> tuple[str | None, float]:
         """The closest template's name and cosine; no name below the threshold."""
         counts = Counter(tokens(statement))
@@ -172,7 +187,7 @@ class Matcher:
         if not text:
             return best
         lower = text.lower()
-        present = [t for t in self.triggers if t in lower]
+        present = self.present(lower)
         if not present:
             return best
         starts = [0, *(m.end() for m in re.finditer("\n", lower))]

@@ -101,8 +101,38 @@ FROM d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN ids ON d.doc_id = id
 """
 
 
+# Every shortest run of lines of 25 words, from each line on and up to each line, that a document with a lesser doc_id has.
+_OP5 = r"""
+WITH d AS (SELECT doc_id, STRING_SPLIT(text, CHR(10)) AS ls FROM documents WHERE text IS NOT NULL),
+     l AS (SELECT doc_id, p, line, REGEXP_REPLACE(line, '^\s+|\s+$', '', 'g') AS s FROM (SELECT doc_id, UNNEST(ls) AS line, GENERATE_SUBSCRIPTS(ls, 1) AS p FROM d)),
+     n AS (SELECT doc_id, p, s, LEN(REGEXP_EXTRACT_ALL(s, '\S+')) AS w, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY p) AS i FROM l WHERE s <> ''),
+     c AS (SELECT doc_id, i, w, SUM(w) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM n),
+     whole AS (SELECT doc_id, LIST(s ORDER BY i) AS ss FROM n GROUP BY doc_id),
+     spans AS (SELECT a.doc_id, a.i AS x, b.i AS y FROM c a JOIN c b ON a.doc_id = b.doc_id WHERE b.upto >= a.upto - a.w + 25 AND b.upto - b.w < a.upto - a.w + 25
+               UNION SELECT a.doc_id, a.i, b.i FROM c a JOIN c b ON a.doc_id = b.doc_id WHERE a.upto - a.w <= b.upto - 25 AND a.upto > b.upto - 25),
+     keyed AS (SELECT doc_id, x, y, MD5(ARRAY_TO_STRING(ss[x:y], CHR(10))) AS k FROM spans JOIN whole USING (doc_id)),
+     held AS (SELECT doc_id, x, y, MIN(doc_id) OVER (PARTITION BY k) AS holder FROM keyed),
+     gone AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, UNNEST(RANGE(x, y + 1)) AS i FROM held WHERE holder < doc_id)),
+     cut AS (SELECT doc_id, COUNT(*) AS g FROM gone GROUP BY doc_id),
+     kept AS (SELECT l.doc_id, STRING_AGG(l.line, CHR(10) ORDER BY l.p) AS t, BOOL_OR(l.s <> '') AS more FROM l LEFT JOIN n ON l.doc_id = n.doc_id AND l.p = n.p LEFT JOIN gone ON n.doc_id = gone.doc_id AND n.i = gone.i WHERE gone.i IS NULL GROUP BY l.doc_id)
+SELECT x.doc_id, CASE WHEN g IS NULL THEN x.text WHEN more THEN t ELSE '' END AS text, CAST(COALESCE(g, 0) AS BIGINT) AS n_removed
+FROM documents x LEFT JOIN cut ON x.doc_id = cut.doc_id LEFT JOIN kept ON x.doc_id = kept.doc_id
+"""
+_OP7 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, REGEXP_EXTRACT_ALL(TRANSLATE(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+     s AS (SELECT DISTINCT doc_id, MD5(ARRAY_TO_STRING(w[i:i + 4], ' ')) AS g FROM (SELECT doc_id, w, UNNEST(RANGE(1, GREATEST(LEN(w) - 4, 1) + 1)) AS i FROM d WHERE LEN(w) > 0)),
+     size AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY doc_id),
+     common AS (SELECT a.doc_id AS u, b.doc_id AS v, COUNT(*) AS k FROM s a JOIN s b ON a.g = b.g WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+     e AS (SELECT u, v FROM common JOIN size x ON x.doc_id = u JOIN size y ON y.doc_id = v WHERE 10 * k >= 8 * (x.n + y.n - k)),
+     r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.v, r.root FROM r JOIN e ON r.doc_id = e.u)
+SELECT r.doc_id, MIN(root) AS class_id, CAST((SELECT COUNT(*) FROM e WHERE e.u = r.doc_id) AS BIGINT) AS n_links FROM r GROUP BY r.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_line_dedup": _OP5,
+        "op7_ngram_jaccard_join": _OP7,
         "op6_benchmark_decontamination": _OP6,
         "op8_warc": _OP8,
         "op9_sharding": "SELECT doc_id, lang, source, n_chars, MD5(text) AS text_md5 FROM documents",

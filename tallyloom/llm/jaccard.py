@@ -16,7 +16,9 @@
 A text of fewer words than a shingle has one shingle of all its words. Null and
 empty texts and texts without words are alike to nothing. Rows with a null
 doc_id take no part: class null, no links. Rows of one doc_id are one document
-with several texts. Extra columns stay, those named like an output are replaced.
+with several texts. Very long texts are compared whole. A similarity of exactly
+the threshold is a link; a class is named after its least doc_id. An empty table
+gives an empty one. Extra columns stay, those named like an output are replaced.
 """
 
 from __future__ import annotations

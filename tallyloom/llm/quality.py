@@ -6,10 +6,12 @@ lowest), with values binned to histograms. The trees are flattened into arrays
 of features, thresholds and children, and all rows of a batch walk them at once.
 
 Rows whose crc32(doc_id as text) mod 4 is 2 are held out and never learnt from.
-Null and empty texts are scored like any other. Without usable labels every
-score is 1: nothing is known against a document. A doc_id labelled more than
-once counts once, as its lowest label; a null label doesn't count. Extra
-columns stay, those named like an output are replaced.
+Null and empty texts are scored like any other, very long ones whole. Without
+usable labels every score is 1: nothing is known against a document. A doc_id
+labelled more than once counts once, as its lowest label; a null label doesn't
+count. Equal scores are no tie to break: each row is judged alone, and repeated
+rows get the same score. An empty table gives an empty one. Extra columns stay,
+those named like an output are replaced.
 """
 
 from __future__ import annotations

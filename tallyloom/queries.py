@@ -9,14 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import relational, stats
-from .plans.estimates import ColumnStat, estimate_equality, estimate_join
-from .plans.planner import plan_query
+from .plans.estimates import ColumnStat, JoinCost, estimate_equality, estimate_join
+from .plans.graph import join_order
+from .plans.planner import joined, plan_query
 from .plans.query import Ref, parse_query
 from .plans.render import render_sql
 from .sources import binary, files
 from .sources.catalog import Catalog
 from .storage import shared_path
-from .streaming.batches import read_batches
+from .streaming.batches import read_batches, read_filenames
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "labels", "pages", "benchmark", "conversations")
 
@@ -179,6 +180,59 @@ def _est_same_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _estimates(spark, estimate_join(_opened(spark, sf_dir, [6]), Ref(0, 2), Ref(0, 3)))
 
 
+def _est_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The estimated rows after each step of the chain lineitem, orders, customer."""
+    query = parse_query("0 1 2|0.0=1.0&1.1=2.0|0.1")
+    catalog = Catalog.from_tables(spark, sf_dir, ["lineitem", "orders", "customer"])
+    cost = JoinCost(query, catalog.bound_stats(query))
+    rows = [(step, round(float(cost(frozenset(range(step)), step)), 3)) for step in (1, 2)]
+    return spark.createDataFrame(rows, "step bigint, cost double")
+
+
+def _stats_bind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A self-join's bindings each have their relation's statistics."""
+    catalog = Catalog.from_tables(spark, sf_dir, ["orders"])
+    return _estimates(spark, catalog.bound_stats(parse_query("0 0|0.1=1.1|0.0")))
+
+
+def _join_executor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order in which a bushy query's bindings are joined."""
+    order = join_order(parse_query(TEXTS["join_bushy"]))
+    return spark.createDataFrame(list(enumerate(order)), "step bigint, binding bigint")
+
+
+def _ir_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of a join, by the columns that a further step reads."""
+    return joined(parse_query("0 1|0.1=1.0|0.0 1.1"), Catalog.from_tables(spark, sf_dir, ["orders", "customer"]))
+
+
+def _relation_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of orders as a text dump writes them."""
+    files.write_dump(_catalog(spark, sf_dir)[5], path := shared_path(spark, "dump"))
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+def _catalog_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dumps of region and nation, one after another."""
+    lines = Catalog.from_tables(spark, sf_dir, TABLES[:2]).dump()
+    return spark.createDataFrame(list(enumerate(lines)), "position bigint, line string")
+
+
+def _joinable_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key and row of every nation."""
+    lines = files.dump_pairs(_catalog(spark, sf_dir)[1], "c1", "c0")
+    return spark.createDataFrame([(x,) for x in lines], "line string")
+
+
+def _file_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(t, files.exists(spark, f"{sf_dir}/{t}.parquet")) for t in (*TABLES, "no_such_table")], "name string, present boolean")
+
+
+def _read_filenames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    script = iter(["region", "", " nation ", "DONE", TEXTS["join_equi"]])
+    return spark.createDataFrame(list(enumerate(read_filenames(script))), "position bigint, name string")
+
+
 def _parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sums(" 6  5 | 0.0 = 1.0 & 1.1 < 50 | 0.1  0.2 ")(spark, sf_dir)
 
@@ -202,6 +256,8 @@ def queries() -> dict:
         "col_stats": _col_stats, "catalog_stats": _catalog_stats, "est_filter_eq": _est_filter_eq, "est_join": _est_join, "est_same_relation": _est_same_relation, "scan_binary": _scan_binary,
         "sum_pushdown": _sums(TEXTS["join_star"], preaggregate=True),
         "self_join": _sums(TEXTS["self_join"], preaggregate=True),  # no pairs of a hot customer's orders
+        "est_cost": _est_cost, "stats_bind": _stats_bind, "join_executor": _join_executor, "ir_scan": _ir_scan, "relation_dump": _relation_dump, "catalog_dump": _catalog_dump,
+        "joinable_dump": _joinable_dump, "file_exists": _file_exists, "read_filenames": _read_filenames,
         "parse_query": _parse, "render_sql": _render, "read_batch": _read_batch,
         "result_lines": _answers([TEXTS["flagship"], TEXTS["sum_multi"], TEXTS["sum_empty"], TEXTS["sum_zero_null"]]),
     }
@@ -243,6 +299,12 @@ def _est_same_sql() -> str:
     return head + " UNION ALL ".join(parts)
 
 
+# After the first step the join column of orders' customers has as many rows as the join.
+_EST_COST = (
+    f"WITH a AS ({_F.format(c='l_orderkey', t='lineitem')}), b AS ({_F.format(c='o_orderkey', t='orders')}), c AS ({_F.format(c='o_custkey', t='orders')}), d AS ({_F.format(c='c_custkey', t='customer')}), "
+    "j AS (SELECT a.f * b.f / (LEAST(a.u, b.u) - GREATEST(a.l, b.l) + 1) AS f FROM a, b), k AS (SELECT j.f * d.f / (LEAST(c.u, d.u) - GREATEST(c.l, d.l) + 1) AS f FROM j, c, d) "
+    "SELECT CAST(1 AS BIGINT) AS step, ROUND(f, 3) AS cost FROM j UNION ALL SELECT 2, ROUND(f, 3) FROM k"
+)
 _EST_JOIN, _EST_SAME = _est_join_sql(), _est_same_sql()
 _WRAP = "CAST(NULLIF(SUM(CAST({v} AS HUGEINT)) % 18446744073709551616, 0) AS VARCHAR)"
 _SCAN_BINARY = (
@@ -277,6 +339,15 @@ def oracle_sql() -> dict[str, str]:
         "est_join": _EST_JOIN,
         "est_same_relation": _EST_SAME,
         "scan_binary": _SCAN_BINARY,
+        "est_cost": _EST_COST,
+        "stats_bind": " UNION ALL ".join(_EST_ROW.format(b=b, i=i, l="l", u="u", f="f", d="d") + f" FROM ({_F.format(c=c, t='orders')}) x" for b in (0, 1) for i, c in enumerate(("o_orderkey", "o_custkey"))),
+        "join_executor": "SELECT CAST(i AS BIGINT) AS step, CAST(i AS BIGINT) AS binding FROM RANGE(4) t(i)",
+        "ir_scan": "SELECT o_orderkey AS b0_c0, o_custkey AS b0_c1, c_custkey AS b1_c0, CAST(c_nationkey AS BIGINT) AS b1_c1 FROM orders JOIN customer ON o_custkey = c_custkey",
+        "relation_dump": "SELECT CONCAT_WS(' ', o_orderkey, o_custkey) AS line FROM orders",
+        "catalog_dump": "SELECT CAST(ROW_NUMBER() OVER (ORDER BY t, k) - 1 AS BIGINT) AS position, line FROM (SELECT 0 AS t, -1 AS k, '1 ' || COUNT(*) AS line FROM region UNION ALL SELECT 0, r_regionkey, CAST(r_regionkey AS VARCHAR) FROM region UNION ALL SELECT 1, -1, '2 ' || COUNT(*) FROM nation UNION ALL SELECT 1, n_nationkey, n_nationkey || ' ' || n_regionkey FROM nation) x",
+        "joinable_dump": "SELECT n_regionkey || ' ' || n_nationkey AS line FROM nation",
+        "file_exists": " UNION ALL ".join(f"SELECT '{t}' AS name, {str(t in TABLES).upper()} AS present" for t in (*TABLES, "no_such_table")),
+        "read_filenames": "SELECT CAST(0 AS BIGINT) AS position, 'region' AS name UNION ALL SELECT 1, 'nation'",
         "parse_query": _sum("l_partkey l_suppkey", f"{_LO} WHERE o_custkey < 50"),
         "sum_pushdown": SQL["join_star"],
         "render_sql": SQL["flagship"],

@@ -28,19 +28,20 @@ def brute(query, data):
     return [s % 2**64 or None for s in sums]
 
 
-@pytest.mark.skipif(not os.path.isdir(GOLDEN), reason="no golden workload here")
-def test_golden(spark):
-    rels = {i: files.read_tbl(spark, f"{GOLDEN}/r{i}.tbl").cache() for i in (0, 1, 3, 4, 5, 6, 9, 10, 11)}
-    catalog = Catalog([rels.get(i) for i in range(14)])
-    texts = [x.strip() for x in open(f"{GOLDEN}/small.work") if x.strip() != "F"]
-    answers = [x.strip() for x in open(f"{GOLDEN}/small.result")]
-    done = 0
-    for text, answer in zip(texts, answers, strict=True):
-        q = parse_query(text)
-        if all(r in rels for r in q.relations):
-            assert format_line(plan_query(q, catalog).first()) == answer, text
-            done += 1
-    assert done == 18
+if os.path.isdir(GOLDEN):  # elsewhere test_workload_against_duckdb stands for it
+
+    def test_golden(spark):
+        rels = {i: files.read_tbl(spark, f"{GOLDEN}/r{i}.tbl").cache() for i in (0, 1, 3, 4, 5, 6, 9, 10, 11)}
+        catalog = Catalog([rels.get(i) for i in range(14)])
+        texts = [x.strip() for x in open(f"{GOLDEN}/small.work") if x.strip() != "F"]
+        answers = [x.strip() for x in open(f"{GOLDEN}/small.result")]
+        done = 0
+        for text, answer in zip(texts, answers, strict=True):
+            q = parse_query(text)
+            if all(r in rels for r in q.relations):
+                assert format_line(plan_query(q, catalog).first()) == answer, text
+                done += 1
+        assert done == 18
 
 
 def random_query(rng, widths):

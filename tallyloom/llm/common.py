@@ -11,12 +11,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..storage import materialize, scratch, shared_path
 
-__all__ = ["Words", "binary_matrix", "map_texts", "materialize", "mix", "raw", "scratch", "shared_path", "shingle_hashes", "slices", "whole_groups", "without"]
+__all__ = ["Words", "binary_matrix", "map_texts", "materialize", "mix", "packed", "plain_names", "raw", "scratch", "shared_path", "shingle_hashes", "slices", "whole_groups", "without"]
 
 #: Bytes of text that a Python worker handles at once.
 SLICE_BYTES = 4 << 20
@@ -28,6 +29,18 @@ def without(df: DataFrame, names) -> DataFrame:
     return df.select(*(f"`{c}`" for c in df.columns if c.lower() not in taken))
 
 
+def plain_names(df: DataFrame) -> DataFrame:
+    """``df`` with other names for columns that have a dot in theirs, which Spark's Arrow functions can't resolve; ``toDF`` gives them back."""
+    return df.toDF(*(f"__dotted_{i}" if "." in c else c for i, c in enumerate(df.columns)))
+
+
+def packed(df: DataFrame, *apart: str) -> tuple[DataFrame, list[Column]]:
+    """(rows, columns): ``row``, a struct of all columns but text, where no name can clash, then text and the columns ``apart``; and what makes the columns of ``df`` of it again."""
+    others = [F.col(f"`{c}`") for c in df.columns if c != "text"]
+    rows = df.select(F.struct(F.lit(0).alias("none"), *others).alias("row"), "text", *apart)
+    return rows, [F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in df.columns]
+
+
 def slices(batch: pa.RecordBatch, column: str, budget: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``budget`` bytes of ``column`` each, one row at least."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -47,6 +60,7 @@ def map_texts(df: DataFrame, column: str, fields: list[T.StructField], make: Cal
     """
     names = [f.name for f in fields]
     df = without(df, names)
+    kept, df = df.columns if keep else [], plain_names(df)
     schema = T.StructType((list(df.schema.fields) if keep else []) + fields)
     arrow = [(f.name, _arrow_type(f.dataType)) for f in fields]
 
@@ -58,7 +72,7 @@ def map_texts(df: DataFrame, column: str, fields: list[T.StructField], make: Cal
                 arrays = (list(part.columns) if keep else []) + [x if isinstance(x := made[n], pa.Array) else pa.array(x, t) for n, t in arrow]
                 yield pa.RecordBatch.from_arrays(arrays, (part.schema.names if keep else []) + names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema).toDF(*kept, *names)
 
 
 def _arrow_type(t: T.DataType) -> pa.DataType:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, map_texts, materialize
+from .common import Words, map_texts, materialize, packed
 
 WINDOW = 10
 #: Bytes of item text in one pass; a larger benchmark is searched in several.
@@ -233,8 +233,9 @@ def _united(batch: pa.RecordBatch) -> dict:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without those that hold a window of a benchmark item."""
-    return scan(docs, benchmark).where(F.size("item_ids") == 0).select(*(f"`{c}`" for c in docs.columns))
+    """``docs`` without those that hold a window of a benchmark item, with columns of any name as they were."""
+    rows, columns = packed(docs)
+    return scan(rows, benchmark).where(F.size("item_ids") == 0).select(*columns)
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, materialize, slices, whole_groups
+from .common import map_texts, materialize, packed, slices, whole_groups
 
 BLOCK_WORDS = 25
 #: Documents that may have a rare line.
@@ -309,8 +309,10 @@ def dedup_lines(docs: DataFrame, least_words: int = BLOCK_WORDS, rare: int = RAR
 
 
 def distinct_text(docs: DataFrame) -> DataFrame:
-    """``docs`` with deduplicated texts (n_chars follows); documents of which nothing is left are dropped."""
-    out = dedup_lines(docs).where((F.col("n_removed") == 0) | (F.col("text") != ""))
+    """``docs`` with deduplicated texts (n_chars follows), other columns of any name as they were; documents of which nothing is left are dropped."""
+    rows, columns = packed(docs, "doc_id")
+    out = dedup_lines(rows).where((F.col("n_removed") == 0) | (F.col("text") != ""))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*(f"`{c}`" for c in docs.columns))
+        counted = F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+        columns[docs.columns.index("n_chars")] = counted.alias("n_chars")
+    return out.select(*columns)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, slices, without
+from .common import materialize, plain_names, slices, without
 
 CAPACITY = 1024
 END_TOKEN = 2
@@ -119,6 +119,7 @@ def tokenize_pieces(docs: DataFrame, path: str | None = None, capacity: int = CA
     made = [*PIECES, T.StructField("ids_crc32", T.LongType())] + ([T.StructField("ids", T.ArrayType(T.IntegerType()))] if ids else [])
     names = [f.name for f in made]
     docs = without(docs, names)
+    back, docs = [c for c in docs.columns if c != "text"], plain_names(docs)
     kept = [f for f in docs.schema.fields if f.name != "text"]
     path = path or tokenizer_path()
 
@@ -141,7 +142,7 @@ def tokenize_pieces(docs: DataFrame, path: str | None = None, capacity: int = CA
                     arrays.append(pa.array(values, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(arrays, [f.name for f in kept] + names)
 
-    return docs.mapInArrow(run, T.StructType(kept + made))
+    return docs.mapInArrow(run, T.StructType(kept + made)).toDF(*back, *names)
 
 
 class SumIndex:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, map_texts, raw
+from .common import Words, map_texts, packed, raw
 
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.7
@@ -200,5 +200,6 @@ def without_prediction(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` predicted to be of quality."""
-    return classify(docs, labels).where("predicted = 1").select(*(f"`{c}`" for c in docs.columns))
+    """``docs`` predicted to be of quality, with columns of any name as they were."""
+    rows, columns = packed(docs, "doc_id")
+    return classify(rows, labels).where("predicted = 1").select(*columns)

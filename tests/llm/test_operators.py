@@ -61,7 +61,7 @@ def empty(spark):
 
 def clashing(df, *names):
     """``df`` with extra columns of an output's name and of helpers' names, and one of a type of its own."""
-    for n in (*names, "__doc", "__removed", "__kept", "__dir", "extra"):
+    for n in (*names, "__doc", "__removed", "__kept", "__dir", "extra", "with.dot"):
         df = df.withColumn(n, F.array(F.lit(None).cast("string")))
     return df
 
